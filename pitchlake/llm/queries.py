@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.exact_dedup import exact_dedup
 from pitchlake.llm.line_dedup import line_dedup
+from pitchlake.llm.mixing import mix_sources
+from pitchlake.llm.packing import pack_power_of_two
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack_power_of_two(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_len=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -28,6 +37,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeat=2, keep_columns=False)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -47,9 +61,39 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, doc_id
 """
 
+#: The ranges of u only spare sorting and bound the zone in which the cut is looked for, so they are part of the result.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][((rk - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size::DOUBLE * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
+t AS (SELECT source, source_size, CASE WHEN cap <= w * lev THEN cap ELSE w * max(CASE WHEN cap <= w * lev THEN NULL ELSE lev END) OVER () END AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+h AS (SELECT *, target - whole * source_size AS rest FROM g),
+e AS (SELECT d.*, floor(u * 16384)::INT AS b, h.source_size, h.target, h.whole, h.rest FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+c AS (SELECT source, b, sum(size) AS words, count(*) AS n, any_value(rest) AS rest FROM e GROUP BY source, b),
+k AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef,
+             coalesce(sum(n) OVER (PARTITION BY source ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nat FROM c),
+f AS (SELECT source, min(b) AS b0, min(bef) AS filled, min(nat) AS at0 FROM k WHERE bef + words > rest GROUP BY source),
+z AS (SELECT k.source, any_value(b0) AS b0, any_value(filled) AS filled, max(b) AS b1 FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source WHERE b >= b0 AND nat < at0 + 256 GROUP BY k.source),
+m AS (SELECT e.*, z.b0, z.b1, z.filled, coalesce(e.b BETWEEN z.b0 AND z.b1, false) AS inz, (rest / source_size) AS p FROM e LEFT JOIN z ON e.source IS NOT DISTINCT FROM z.source),
+q AS (SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u END AS q FROM m WHERE inz),
+x AS (SELECT *, filled + sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY source ORDER BY q, doc_id) AS i FROM q),
+y AS (SELECT *, rest - coalesce(max(CASE WHEN cum <= rest THEN cum END) OVER (PARTITION BY source), filled) AS gap FROM x),
+v AS (SELECT *, CASE WHEN cum > rest AND size > 0 AND size < 2 * gap THEN row(abs(size - gap), i) END AS fit FROM y),
+o AS (SELECT r, cum <= rest OR coalesce(fit = min(fit) OVER (PARTITION BY source), false) AS more FROM v)
+SELECT doc_id, size, source_size, target, least(whole::INT + coalesce(o.more, coalesce(b < b0, false))::INT, 2)::BIGINT * size AS taken
+FROM m LEFT JOIN o USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
