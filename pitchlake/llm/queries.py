@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.llm.exact_dedup import exact_dedup
+from pitchlake.llm.licenses import scan_licenses
 from pitchlake.llm.line_dedup import line_dedup
 from pitchlake.llm.mixing import mix_sources
 from pitchlake.llm.packing import pack_power_of_two
+from pitchlake.llm.warc import new_folder, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = new_folder(pages)
+    found = read_warc(write_warc(pages, folder, min_bytes=0), folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -94,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
+    "op8_licenses": op8_licenses,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
