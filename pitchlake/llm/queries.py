@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.llm.exact_dedup import exact_dedup
+from pitchlake.llm.langid import identify_languages
 from pitchlake.llm.licenses import scan_licenses
 from pitchlake.llm.line_dedup import line_dedup
 from pitchlake.llm.mixing import mix_sources
@@ -56,6 +57,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"), folds=4, fold=2)
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
