@@ -120,7 +120,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 docs_of[lang] = docs_of.get(lang, 0) + len(own)
                 for a, b in _parts(own):
                     codes, whose, _ = grams(own[a:b])
-                    seen = np.unique((codes >> np.uint64(20) << np.uint64(20)) | whose.astype(np.uint64)) if b - a < 1 << 20 else codes
+                    seen = np.unique((codes >> np.uint64(20) << np.uint64(20)) | whose.astype(np.uint64))
                     keys, n = np.unique(seen >> np.uint64(20), return_counts=True)
                     waiting.setdefault(lang, []).append((keys.astype(np.int64), n.astype(np.int64)))
                     if len(waiting[lang]) >= 16:

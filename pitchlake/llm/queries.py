@@ -17,6 +17,7 @@ from pitchlake.llm.licenses import scan_licenses
 from pitchlake.llm.line_dedup import line_dedup
 from pitchlake.llm.mixing import mix_sources
 from pitchlake.llm.packing import pack_power_of_two
+from pitchlake.llm.toxicity import score_toxicity
 from pitchlake.llm.warc import new_folder, read_warc, write_warc
 
 
@@ -24,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, fold=0)
+    return out.select("doc_id", "held_out", "score", "predicted", "n_words", F.size("passages").alias("n_passages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -109,6 +115,7 @@ FROM m LEFT JOIN o USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
