@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.exact_dedup import exact_dedup
 from pitchlake.llm.fingerprints import fingerprint_documents
+from pitchlake.llm.jaccard_join import jaccard_components
 from pitchlake.llm.langid import identify_languages
 from pitchlake.llm.licenses import scan_licenses
 from pitchlake.llm.line_dedup import line_dedup
@@ -26,6 +27,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_components(_table(spark, sf_dir, "documents"), width=5, num=3, den=4)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, fold=0)
     return out.select("doc_id", "held_out", "score", "predicted", "n_words", F.size("passages").alias("n_passages"))
@@ -121,6 +127,7 @@ FROM m LEFT JOIN o USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
