@@ -200,7 +200,7 @@ def _signed(rows: DataFrame, width: int, scheme: Scheme, with_info: bool) -> Dat
     return rows.select("_id", "_text").mapInArrow(run, "sig bigint, node bigint, info bigint")
 
 
-def _pick(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+def pick(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     """Rows whose key is (left_semi) or isn't (left_anti) among the ids: by broadcast if these are few, else by shuffle."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on, how)
@@ -235,7 +235,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, scheme: Scheme) ->
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    found = _pick(texts.select("_id", "_text"), nodes, ["_id"], "left_semi").mapInArrow(sets, "node bigint, x binary")
+    found = pick(texts.select("_id", "_text"), nodes, ["_id"], "left_semi").mapInArrow(sets, "node bigint, x binary")
     left = pairs.join(found.select(F.col("node").alias("a"), F.col("x")), "a")
     both = left.join(found.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct())
@@ -259,7 +259,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     groups = cut(groups)
     joined = base.join(per_salt(groups.drop("_blank"), "_mask", "_s"), ["_h1", "_h2", "_s"])
     copies = cut(joined.where(F.col("_id") != F.col("_node")).select("_id", "_h1", "_blank", "_node"))
-    texts = _pick(slim.where(F.col("_id").isNotNull() & ~blank).withColumn("_h1", keys[0]), copies.where(~F.col("_blank")).select("_id", "_h1"), ["_id", "_h1"], "left_anti").select("_id", "_text")
+    texts = pick(slim.where(F.col("_id").isNotNull() & ~blank).withColumn("_h1", keys[0]), copies.where(~F.col("_blank")).select("_id", "_h1"), ["_id", "_h1"], "left_anti").select("_id", "_text")
 
     signed = _signed(texts, width, scheme, with_info=True)
     bucket = Window.partitionBy("sig", F.isnull("info"), F.when(F.col("info").isNotNull(), F.col("node")))
@@ -300,7 +300,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
         if not failed.isEmpty():
             around = stars.join(failed, "a", "left_semi")
             around = cut(around.select(F.col("a").alias("_id")).union(around.select(F.col("b").alias("_id"))).distinct())
-            again = _signed(_pick(texts, around, ["_id"], "left_semi"), width, scheme, with_info=False).select("sig", "node").join(rows.select("sig").distinct(), "sig", "left_anti")
+            again = _signed(pick(texts, around, ["_id"], "left_semi"), width, scheme, with_info=False).select("sig", "node").join(rows.select("sig").distinct(), "sig", "left_anti")
             again = again.union(heavy.join(around.select(F.col("_id").alias("node")), "node", "left_semi").select("sig", "node"))
             labelled = again.join(so_far, "node", "left").join(facts.select("node", "size"), "node").select("sig", "node", "size", F.coalesce("component", "node").alias("c"))
             mixed = labelled.withColumn("low", F.min("c").over(in_sig)).withColumn("high", F.max("c").over(in_sig)).where("low < high").select("sig", "node", "size", "c")

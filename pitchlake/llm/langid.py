@@ -189,10 +189,10 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", own: Sequ
     ``score`` is the share of the answer's corrected count in the sum of the two highest. A text that is null or has no
     letter is ``und`` with score 0. A text whose n-grams are in no filter gets the language with most documents, score 0.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)
-    rows = docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in own])
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", lang_pred string, score double"
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    names = [f"_own{i}" for i in range(len(own))]
+    rows = docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(own, names, strict=True)])
+    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(own, names, strict=True)) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -226,9 +226,9 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", own: Sequ
                 for k in range(n):
                     answers.append(f.languages[first[k] if top[k] > 0 else common] if letters[k] else "und")
                     scores.append(float(sure[k]) if letters[k] else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(answers, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(answers, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(own, names, strict=True)], "lang_pred", "score")
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -240,10 +240,11 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Learn from the documents that aren't held out and have a language; predict for all: the columns ``own`` (the id), held_out, lang_pred, score.
 
     Null and letterless texts are ``und``. With no labelled documents every answer is ``und``. An empty table gives an
-    empty result; repeated rows count each; null ids are learnt from. Extra columns are ignored unless named in ``own``.
+    empty result; repeated rows count each; null ids are learnt from. Extra columns are ignored unless named in ``own``;
+    those called held_out, lang_pred or score are replaced.
     """
     slim = hidden(docs, list(dict.fromkeys([id_col, text_col, lang_col])))
     filters = learn(slim.where(~held_out(F.col(f"`{id_col}`"), folds, fold)), text_col, lang_col)
-    own = list(own or [id_col])
-    out = predict(docs, filters, text_col, list(dict.fromkeys([*own, id_col])))
+    own = [c for c in (own or [id_col]) if c not in ("held_out", "lang_pred", "score")]
+    out = predict(docs, filters, text_col, [*own, *([] if id_col in own else [id_col])])
     return out.select(*[F.col(f"`{c}`") for c in own], held_out(F.col(f"`{id_col}`"), folds, fold).alias("held_out"), "lang_pred", "score")
