@@ -11,6 +11,8 @@ similar sets to share a signature, and SPARE more let very common signatures be
   meets every partner at another signature. Only sets that consist of common signatures for the most part (members of large
   groups of near copies) meet at these.
 * Equal texts are joined beforehand; one of them stands for all.
+* Because similar sets share SPARE + 1 of the enumerated signatures and not just one, a set that meets others at fewer has no
+  partner. A first pass only counts these meetings; the second goes over the sets that are left.
 * In a bucket the smallest id is the pivot, and only (pivot, member) pairs come out, never all pairs. Each set is first verified
   against the pivot with which it shares most signatures; then only pairs between different components so far are verified. Last, in
   buckets where a member is not in its pivot's component, the other pairs between components follow. No link between components
@@ -261,20 +263,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     copies = cut(joined.where(F.col("_id") != F.col("_node")).select("_id", "_h1", "_blank", "_node"))
     texts = pick(slim.where(F.col("_id").isNotNull() & ~blank).withColumn("_h1", keys[0]), copies.where(~F.col("_blank")).select("_id", "_h1"), ["_id", "_h1"], "left_anti").select("_id", "_text")
 
+    # who meets anyone at as many signatures as similar sets must share
     signed = _signed(texts, width, scheme, with_info=True)
-    bucket = Window.partitionBy("sig", F.isnull("info"), F.when(F.col("info").isNotNull(), F.col("node")))
-    met = signed.withColumn("g", F.count(F.lit(1)).over(bucket)).withColumn("pivot", F.min("node").over(bucket))
     info = F.col("info").isNotNull()
-    common = ~info & (F.col("g") > COMMON)
-    met = met.where(info | ((F.col("g") > 1) & ((F.col("pivot") != F.col("node")) | (F.col("g") > COMMON))))
-    kind = F.when(info, 2).when(common, 1).otherwise(0)
-    met = met.select(kind.alias("kind"), F.when(info | common, F.col("sig")).otherwise(F.col("pivot")).alias("a"), F.col("node").alias("b"), F.col("info"))
-    table = cut(met.groupBy("kind", "a", "b", "info").agg(F.count(F.lit(1)).alias("n")))
-
-    facts = table.where("kind = 2").groupBy(F.col("b").alias("node")).agg(F.max(F.shiftright("info", 31)).alias("size"), F.max(F.shiftright("info", 24).bitwiseAND(127)).alias("band"), F.min(F.shiftright("a", 31) - 1).alias("own"), F.min(F.col("a").bitwiseAND(0x7FFFFFFF) - 1).alias("next"))
+    met = signed.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("sig", F.when(info, F.col("node"))))).where(info | (F.col("g") > 1))
+    met = met.select("node", F.when(info, F.col("sig")).otherwise(F.col("sig").bitwiseAND(255)).alias("what"), "info")
+    met = cut(met.groupBy("node", "what", "info").agg(F.count(F.lit(1)).alias("n")))
+    facts = met.where(info).groupBy("node").agg(F.max(F.shiftright("info", 31)).alias("size"), F.max(F.shiftright("info", 24).bitwiseAND(127)).alias("band"), F.min(F.shiftright("what", 31) - 1).alias("own"), F.min(F.col("what").bitwiseAND(0x7FFFFFFF) - 1).alias("next"))
     facts = cut(facts)
-    rows = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("a").bitwiseAND(255).alias("tag"))
     spare = F.when(F.col("tag") == F.col("band"), F.col("own")).when(F.col("tag") == F.col("band") + 1, F.col("next")).otherwise(-1)
+    counts = met.where(~info).select("node", F.col("what").alias("tag"), "n").join(facts, "node")
+    alive = cut(counts.where(F.col("n") >= F.greatest(F.lit(1), spare + 1)).select(F.col("node").alias("_id")).distinct())
+    texts = pick(texts, alive, ["_id"], "left_semi").select("_id", "_text")
+
+    bucket = Window.partitionBy("sig")
+    met = _signed(texts, width, scheme, with_info=False).select("sig", "node").withColumn("g", F.count(F.lit(1)).over(bucket)).withColumn("pivot", F.min("node").over(bucket))
+    common = F.col("g") > COMMON
+    met = met.where((F.col("g") > 1) & ((F.col("pivot") != F.col("node")) | common))
+    met = met.select(F.when(common, 1).otherwise(0).alias("kind"), F.when(common, F.col("sig")).otherwise(F.col("pivot")).alias("a"), F.col("node").alias("b"))
+    table = cut(met.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+
+    rows = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("a").bitwiseAND(255).alias("tag"))
     full = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).join(facts, "node").where(F.col("n") > spare).select("node", "tag")
     heavy = cut(rows.join(full, ["node", "tag"]).select("sig", "node"))
     in_sig = Window.partitionBy("sig")
