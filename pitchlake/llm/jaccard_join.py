@@ -12,7 +12,8 @@ similar sets to share a signature, and SPARE more let very common signatures be
   groups of near copies) meet at these.
 * Equal texts are joined beforehand; one of them stands for all.
 * Because similar sets share SPARE + 1 of the enumerated signatures and not just one, a set that meets others at fewer has no
-  partner. A first pass only counts these meetings; the second goes over the sets that are left.
+  partner. A first pass only counts these meetings. Of the sets that are left, those stay of which a share of at least num / den
+  of the elements is found in any other: a similar set has that many of them. Only then buckets are paired.
 * In a bucket the smallest id is the pivot, and only (pivot, member) pairs come out, never all pairs. Each set is first verified
   against the pivot with which it shares most signatures; then only pairs between different components so far are verified. Last, in
   buckets where a member is not in its pivot's component, the other pairs between components follow. No link between components
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.llm.common import ascii_lower, cut, hidden, per_salt, salt, used_salts
@@ -40,6 +41,8 @@ COMMON = 32
 SPARE = 0.05
 #: Mean number of elements in a range for the largest sets of a band, and the size below which each element is a range.
 FILL, SMALL = 2.2, 48
+#: How often sets with too few elements in common with any other are dropped; each round can leave others with too few.
+ROUNDS = 3
 #: Up to so many ids are broadcast to pick rows of documents (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Words whose hashes a worker keeps; emptied when full.
@@ -202,6 +205,19 @@ def _signed(rows: DataFrame, width: int, scheme: Scheme, with_info: bool) -> Dat
     return rows.select("_id", "_text").mapInArrow(run, "sig bigint, node bigint, info bigint")
 
 
+def _elements(rows: DataFrame, width: int) -> DataFrame:
+    """sig, node of rows (_id, _text): one row per element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), _binary(batch, 1), strict=True):
+                x = shingles(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node, np.int64))], names=["sig", "node"])
+
+    return rows.select("_id", "_text").mapInArrow(run, "sig bigint, node bigint")
+
+
 def pick(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     """Rows whose key is (left_semi) or isn't (left_anti) among the ids: by broadcast if these are few, else by shuffle."""
     few = ids.count() <= BROADCAST_IDS
@@ -274,9 +290,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     spare = F.when(F.col("tag") == F.col("band"), F.col("own")).when(F.col("tag") == F.col("band") + 1, F.col("next")).otherwise(-1)
     counts = met.where(~info).select("node", F.col("what").alias("tag"), "n").join(facts, "node")
     alive = cut(counts.where(F.col("n") >= F.greatest(F.lit(1), spare + 1)).select(F.col("node").alias("_id")).distinct())
-    texts = pick(texts, alive, ["_id"], "left_semi").select("_id", "_text")
+    texts = cut(pick(slim.where(F.col("_id").isNotNull() & ~blank), alive, ["_id"], "left_semi").select("_id", "_text"))
 
+    # of those, who has enough elements that any other of them has
     bucket = Window.partitionBy("sig")
+    for _ in range(ROUNDS):
+        shared = _elements(texts, width).withColumn("g", F.count(F.lit(1)).over(bucket)).where("g > 1").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+        shared = shared.join(facts, "node").where(den * F.col("common") >= num * F.col("size"))
+        shared = cut(shared.select("node", "size", "band", "own", "next", F.least("common", "size").alias("common")))
+        texts = pick(texts, shared.select(F.col("node").alias("_id")), ["_id"], "left_semi").select("_id", "_text")
+    known = shared.select("node", "size", "common")
+
     met = _signed(texts, width, scheme, with_info=False).select("sig", "node").withColumn("g", F.count(F.lit(1)).over(bucket)).withColumn("pivot", F.min("node").over(bucket))
     common = F.col("g") > COMMON
     met = met.where((F.col("g") > 1) & ((F.col("pivot") != F.col("node")) | common))
@@ -289,8 +313,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     in_sig = Window.partitionBy("sig")
     stars = heavy.withColumn("a", F.min("node").over(in_sig)).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("n"))
     stars = table.where("kind = 0").select("a", "b", "n").union(stars).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    stars = stars.join(facts.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(facts.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-    can = num * F.greatest("size_a", "size_b") <= den * F.least("size_a", "size_b")
+    stars = stars.join(known.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("common").alias("common_a")), "a").join(known.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("common").alias("common_b")), "b")
+    can = _possible(F.col("size_a"), F.col("size_b"), F.col("common_a"), F.col("common_b"), num, den)
     stars = cut(stars.select("a", "b", "n", can.alias("can")))
 
     likely = stars.where("can").groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
@@ -311,12 +335,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
             around = cut(around.select(F.col("a").alias("_id")).union(around.select(F.col("b").alias("_id"))).distinct())
             again = _signed(pick(texts, around, ["_id"], "left_semi"), width, scheme, with_info=False).select("sig", "node").join(rows.select("sig").distinct(), "sig", "left_anti")
             again = again.union(heavy.join(around.select(F.col("_id").alias("node")), "node", "left_semi").select("sig", "node"))
-            labelled = again.join(so_far, "node", "left").join(facts.select("node", "size"), "node").select("sig", "node", "size", F.coalesce("component", "node").alias("c"))
-            mixed = labelled.withColumn("low", F.min("c").over(in_sig)).withColumn("high", F.max("c").over(in_sig)).where("low < high").select("sig", "node", "size", "c")
+            labelled = again.join(so_far, "node", "left").join(known, "node").select("sig", "node", "size", "common", F.coalesce("component", "node").alias("c"))
+            mixed = labelled.withColumn("low", F.min("c").over(in_sig)).withColumn("high", F.max("c").over(in_sig)).where("low < high").select("sig", "node", "size", "common", "c")
             mixed = cut(mixed)
-            x, y = mixed.alias("x"), mixed.alias("y")
-            cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & (num * F.greatest("x.size", "y.size") <= den * F.least("x.size", "y.size")))
-            cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+            # a set with a partner in another component shares as many of these signatures as any similar sets
+            tagged = mixed.withColumn("tag", F.col("sig").bitwiseAND(255))
+            enough = tagged.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).join(facts, "node").withColumn("need", F.greatest(F.lit(1), spare + 1)).where(F.col("n") >= F.col("need"))
+            tagged = cut(tagged.join(enough.select("node", "tag", "need"), ["node", "tag"]))
+            x, y = tagged.alias("x"), tagged.alias("y")
+            cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & _possible(F.col("x.size"), F.col("y.size"), F.col("x.common"), F.col("y.common"), num, den))
+            cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("x.need", "y.need")).alias("need"))
+            cross = cross.where("n >= need").select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
             last = _verified(cross, texts, width, scheme)
             if not last.isEmpty():
                 links = cut(links.union(last))
@@ -337,6 +366,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     return out.select(F.col("_id").alias(id_col), F.when(F.col("_blank"), 0).otherwise(F.col("size")).cast("long").alias("n_shingles"), component.alias("component_id"), "n_copies")
 
 
+def _possible(size_a: Column, size_b: Column, common_a: Column, common_b: Column, num: int, den: int) -> Column:
+    """Whether sets of these sizes, of which so many elements are found in any other set, can be similar: they can't share more than that."""
+    most = F.least(common_a, common_b)
+    return den * most >= num * (size_a + size_b - most)
+
+
 def _apart(stars: DataFrame, so_far: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
     left = stars.join(so_far.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
