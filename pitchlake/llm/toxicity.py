@@ -31,6 +31,8 @@ from pitchlake.llm.common import cut, hidden
 EULER = 0.5772156649015329
 #: Distinct words that a worker counts before it hands them on, which bounds its memory.
 FLUSH = 200_000
+#: Up to so many labelled ids are broadcast to pick the labelled texts (12 bytes each); beyond, texts are joined by shuffle.
+BROADCAST_LABELS = 1_000_000
 #: Steps of evidence in the calibration table.
 STEPS = 400
 
@@ -209,7 +211,8 @@ def score_toxicity(
     flags = hidden(labels, [id_col, label_col]).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_flag"))
     flags = flags.where(F.col("_id").isNotNull() & F.col("_flag").isin(0, 1) & ~held_out(F.col("_id"), folds, fold)).groupBy("_id").agg(F.max("_flag").alias("_flag"))
     flags = cut(flags)
-    scores, other = learn_scores(slim, slim.join(flags, "_id"), "_text", "_flag", prior, min_ratio, min_rate)
+    few = flags.count() <= BROADCAST_LABELS
+    scores, other = learn_scores(slim, slim.join(F.broadcast(flags) if few else flags, "_id"), "_text", "_flag", prior, min_ratio, min_rate)
     scanned = cut(scan(slim, scores, other, ["_id"], "_text"))
     learnt = scanned.join(flags, "_id").select("_flag", "n_words", "best")
     clean = learnt.where((F.col("_flag") == 0) & (F.col("best") > 0)).select((F.col("best") - F.log("n_words")).alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("x").alias("n")).first()
