@@ -105,13 +105,15 @@ def fit_hmm(df: DataFrame, columns: list[str], group: list[str], order: list[str
     start, move, means, covs = np.full(k, 1 / k), np.full((k, k), 1 / k), seed.means[:k].copy(), seed.covs[:k].copy()
     data, last = df.select(*dict.fromkeys([*group, *order, *columns])), -np.inf
     for _ in range(c.max_iter):
+        p = start, move, means, covs
 
-        def part(pdf: pd.DataFrame, p: tuple = (start, move, means, covs)) -> pd.DataFrame:
+        def part(pdf: pd.DataFrame) -> pd.DataFrame:
             x = pdf.sort_values(order, kind="stable")[columns].to_numpy(float)
             ll, post, moves = forward_backward(_emissions(x, p[2], p[3]), p[0], p[1])
             v = np.concatenate([[ll, len(x)], post[0], moves.ravel(), post.sum(0), (post.T @ x).ravel(), np.einsum("nk,ni,nj->kij", post, x, x).ravel()])
             return pd.DataFrame({"i": np.arange(len(v)), "v": v})
 
+        # the action below runs before p is bound anew
         rows = data.groupBy(*group).applyInPandas(part, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
         if not rows:
             raise ModelError("no sequence")
@@ -119,7 +121,6 @@ def fit_hmm(df: DataFrame, columns: list[str], group: list[str], order: list[str
         ll, n = v[0], v[1]
         cut = np.cumsum([2, k, k * k, k, k * d, k * d * d])
         s, t, nk, sx, sxx = (v[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
-        used = start, move, means, covs
         start = s / s.sum()
         t = t.reshape(k, k) + 1e-12
         move = t / t.sum(1, keepdims=True)
@@ -129,4 +130,4 @@ def fit_hmm(df: DataFrame, columns: list[str], group: list[str], order: list[str
         if ll - last < c.tol * n:
             break
         last = ll
-    return HiddenMarkovModel(columns, *used, float(ll))
+    return HiddenMarkovModel(columns, *p, float(ll))

@@ -1,2 +1,174 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries on preprocessing, mixtures, hidden Markov models, label sequences and changepoints."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitchlake.config import ChangepointConfig, HmmConfig, MixtureConfig, PreprocessConfig
+from pitchlake.models import changepoint, labels, mixture, preprocessing, sequence
+from pitchlake.plans.feature_queries import events, feature_table, rounded
+from pitchlake.sources.bridge import EVENTS_SQL
+
+COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+GROUP, ORDER = ["match_id", "team_id"], ["period", "timestamp", "seq"]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*COLUMNS)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for the label operators: thirds of the pitch, the last known place if there is none now."""
+    e = events(spark, sf_dir).where(F.col("x").isNotNull())
+    return e.select(*GROUP, *ORDER, F.floor(F.col("x") / 34).cast("int").alias("a"), F.floor(F.col("y") / 34).cast("int").alias("b"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str, d: int = 6) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return v.select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"t1_e{i}") for i in range(d)])
+
+
+def p2_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = _lines(spark, sf_dir).agg(*[F.median(c).alias(c) for c in COLUMNS])
+    return row.unpivot([], list(COLUMNS), "feature", "median").withColumn("median", F.round("median", 6))
+
+
+def p6_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocessing.moments(_lines(spark, sf_dir), list(COLUMNS)).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def p7_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = preprocessing.Preprocessor(PreprocessConfig("t", "impute_median", 0.95)).fit(feature_table(spark, sf_dir, 2))
+    total, rows = 0.0, []
+    for i, v in enumerate(p.explained):
+        total += float(v)
+        rows.append((i, float(v), total, i < len(p.components)))
+    return spark.createDataFrame(rows, "component int, explained double, cumulative double, kept boolean")
+
+
+def p8_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = feature_table(spark, sf_dir, 2)
+    return preprocessing.Preprocessor(PreprocessConfig("t", "impute_median", 0.95)).fit(t).transform(t, ["match_id", "team_id", "segment_type", "segment", "period"])
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[mixture.GaussianMixture, list, DataFrame]:
+    v = _vectors(spark, sf_dir).repartition(8, "vec_id").persist()
+    m, table = mixture.select_mixture(v, [f"t1_e{i}" for i in range(6)], MixtureConfig(2, 4, n_init=2, max_iter=25))
+    return m, table, v
+
+
+def m7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, table, _ = _mixture(spark, sf_dir)
+    return spark.createDataFrame([(k, b, a, k == m.k) for k, b, a in table], "k int, bic double, aic double, best boolean")
+
+
+def m3_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, _, v = _mixture(spark, sf_dir)
+    return m.predict(v, ["vec_id"])
+
+
+def m11_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).where(F.col("x").isNotNull()).select(*GROUP, *ORDER, "x", "y").persist()
+    seed = mixture.fit_mixtures(e, ["x", "y"], [3], MixtureConfig(3, 3, n_init=1, max_iter=10))[3]
+    hmm = sequence.fit_hmm(e, ["x", "y"], GROUP, ORDER, seed, HmmConfig(3, max_iter=5))
+    return hmm.decode(e, GROUP, ORDER)
+
+
+def m25_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).where(F.col("x").isNotNull() & (F.col("match_id") < "2024-01-06"))
+    return changepoint.detect(e, ["x", "y"], GROUP, ORDER, config=ChangepointConfig("pelt", "rbf", 3.0, 10))
+
+
+def m30_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).where(F.col("x").isNotNull() & (F.col("match_id") < "2024-01-06"))
+    return changepoint.summary(changepoint.detect(e, ["x", "y"], GROUP, ORDER, config=ChangepointConfig("binseg", "l2", 20_000.0, 10)))
+
+
+def m4_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.smooth(_labels(spark, sf_dir), "a", GROUP, ORDER, 5).select(*GROUP, "seq", "a_smoothed")
+
+
+def m6_flicker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(labels.flicker_rate(_labels(spark, sf_dir), "a", GROUP, ORDER))
+
+
+def m13_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+
+
+def m24_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.agreement(_labels(spark, sf_dir), "a", "b").select(F.round("ari", 8).alias("ari"), F.round("nmi", 8).alias("nmi"))
+
+
+CENTRES = ((0.0, 0.0), (0.1, -0.1), (-0.2, 0.1))
+
+
+def m20_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 2).alias("e"))
+    return rounded(labels.soft_assignment(v, "e", CENTRES, ["vec_id"]))
+
+
+def m16_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("x"))
+    v = v.select("x", F.transform("x", lambda a: a * 0.9).alias("recon"), F.slice("x", 1, 4).alias("mu"), F.slice("x", 5, 4).alias("logvar"))
+    return rounded(labels.vae_loss(v, "x", "recon", "mu", "logvar"))
+
+
+def m23_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 8).alias("e"), "label").where("vec_id < 500")
+    return labels.silhouette(v, "e", "label", "vec_id").select(F.round("silhouette", 8).alias("silhouette"))
+
+
+def m26_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("match_id", "seq", F.coalesce("x", F.lit(50.0)).alias("x"), F.coalesce("y", F.lit(50.0)).alias("y"), F.coalesce("end_x", F.lit(50.0)).alias("end_x"), ((F.col("seq") % 40 == 0)).alias("at"))
+    return rounded(changepoint.feature_deltas(e, ["x", "y", "end_x"], ["match_id"], ["seq"], "at", top=2))
+
+
+QUERIES = {
+    "p2_medians": p2_medians,
+    "p6_moments": p6_moments,
+    "p7_explained": p7_explained,
+    "p8_components": p8_components,
+    "m3_states": m3_states,
+    "m4_smoothed": m4_smoothed,
+    "m6_flicker": m6_flicker,
+    "m7_selection": m7_selection,
+    "m11_decoded": m11_decoded,
+    "m13_sequences": m13_sequences,
+    "m16_loss": m16_loss,
+    "m20_soft": m20_soft,
+    "m23_silhouette": m23_silhouette,
+    "m24_agreement": m24_agreement,
+    "m25_changepoints": m25_changepoints,
+    "m26_deltas": m26_deltas,
+    "m30_summary": m30_summary,
+}
+
+_UNION = " UNION ALL ".join
+_LABELS = f"{EVENTS_SQL}, lab AS (SELECT match_id, team_id, period, timestamp, seq, floor(x / 34)::INT AS a, floor(y / 34)::INT AS b, row_number() OVER (PARTITION BY match_id, team_id ORDER BY period, timestamp, seq) AS r FROM ev WHERE x IS NOT NULL)"
+_D = "sqrt(({x}) * ({x}) + ({y}) * ({y}))"
+_SOFT = [_D.format(x=f"e[1]::DOUBLE - ({a}::DOUBLE)", y=f"e[2]::DOUBLE - ({b}::DOUBLE)") for a, b in CENTRES]
+_DELTA = _UNION(f"SELECT match_id, seq, '{c}' AS feature, avg({c}) OVER (PARTITION BY match_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) - avg({c}) OVER (PARTITION BY match_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS delta FROM v" for c in ("x", "y", "end_x"))
+
+ORACLES = {
+    "p2_medians": _UNION(f"SELECT '{c}' AS feature, round(median({c}), 6) AS median FROM lineitem" for c in COLUMNS),
+    "p6_moments": _UNION(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM lineitem" for c in COLUMNS),
+    "m4_smoothed": f"""WITH {_LABELS}, n AS (SELECT x.match_id, x.team_id, x.seq, y.a, count(*) AS n FROM lab x JOIN lab y ON x.match_id = y.match_id AND x.team_id = y.team_id AND y.r BETWEEN x.r - 2 AND x.r + 2 GROUP BY ALL)
+SELECT match_id, team_id, seq, arg_min(a, -n * 1000 + a) AS a_smoothed FROM n GROUP BY match_id, team_id, seq""",
+    "m6_flicker": f"""WITH {_LABELS}, c AS (SELECT match_id, team_id, (a <> lag(a) OVER (PARTITION BY match_id, team_id ORDER BY r))::INT AS c FROM lab), s AS (SELECT sum(c) / (count(*) - 1) AS f FROM c GROUP BY match_id, team_id HAVING count(*) >= 2)
+SELECT round(coalesce(avg(f), 0), 8) AS flicker_rate FROM s""",
+    "m13_sequences": f"WITH {_LABELS} SELECT match_id, team_id, count(*) AS n FROM lab GROUP BY match_id, team_id",
+    "m16_loss": """WITH v AS (SELECT embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT sum(list_sum(list_transform(x, lambda a: (a - a * 0.9::DOUBLE) * (a - a * 0.9::DOUBLE)))) / sum(len(x)) AS r,
+  -0.5 * sum(list_sum(list_transform(range(1, 5), lambda i: 1 + x[i + 4] - x[i] * x[i] - exp(x[i + 4])))) / (4 * count(*)) AS k FROM v) SELECT round(r, 8) AS reconstruction, round(k, 8) AS divergence, round(r + 4 * k, 8) AS loss FROM s""",
+    "m20_soft": f"""WITH d AS (SELECT vec_id, {_SOFT[0]} AS a, {_SOFT[1]} AS b, {_SOFT[2]} AS c FROM (SELECT vec_id, embedding AS e FROM embeddings)), w AS (SELECT vec_id, exp(-a) AS a, exp(-b) AS b, exp(-c) AS c FROM d)
+SELECT vec_id, round(a / (a + b + c), 8) AS prob_0, round(b / (a + b + c), 8) AS prob_1, round(c / (a + b + c), 8) AS prob_2 FROM w""",
+    "m23_silhouette": """WITH v AS (SELECT vec_id, label, embedding[1:8]::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), p AS (SELECT x.vec_id AS i, x.label AS ci, y.label AS cj, avg(list_distance(x.e, y.e)) AS d FROM v x JOIN v y ON x.vec_id <> y.vec_id GROUP BY ALL),
+q AS (SELECT i, max(CASE WHEN ci = cj THEN d END) AS a, min(CASE WHEN ci <> cj THEN d END) AS b FROM p GROUP BY i) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 8) AS silhouette FROM q""",
+    "m24_agreement": f"""WITH {_LABELS}, t AS (SELECT a, b, count(*)::DOUBLE AS n FROM lab GROUP BY a, b), g AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS m FROM t),
+pa AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY a)), pb AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY b)),
+s AS (SELECT sum(n * (n - 1) / 2) AS same, max(m) AS m, sum(n / m * ln(n * m / (na * nb))) AS mi, -sum(n / m * ln(na / m)) AS ha, -sum(n / m * ln(nb / m)) AS hb FROM g)
+SELECT round((same - pa.s * pb.s / (m * (m - 1) / 2)) / ((pa.s + pb.s) / 2 - pa.s * pb.s / (m * (m - 1) / 2)), 8) AS ari, round(greatest(0, mi / ((ha + hb) / 2)), 8) AS nmi FROM s, pa, pb""",
+    "m26_deltas": f"""WITH {EVENTS_SQL}, v AS (SELECT match_id, seq, coalesce(x, 50) AS x, coalesce(y, 50) AS y, coalesce(end_x, 50) AS end_x FROM ev), d AS ({_DELTA}),
+r AS (SELECT match_id, seq, feature, delta, row_number() OVER (PARTITION BY match_id, seq ORDER BY abs(delta) DESC, feature)::INT AS rank FROM d WHERE seq % 40 = 0) SELECT match_id, seq, feature, round(delta, 8) AS delta, rank FROM r WHERE rank <= 2""",
+}

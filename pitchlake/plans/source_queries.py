@@ -1,2 +1,136 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries on provider normalisation, over raw events made from the table events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitchlake.functions.expressions import file_size
+from pitchlake.sources import provider
+from pitchlake.sources.bridge import EVENTS_SQL
+from pitchlake.plans.feature_queries import events, rounded
+
+#: Raw types by event_id modulo 10. Fixed values.
+RAW_TYPES = ("Pass", "Pass", "Shot", "Carry", "Pressure", "Duel", "Ball Receipt*", "Dribble", "Tactical Shift", "Goal Keeper")
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw provider events: id, index, type, sub-types, clock, places of a 120 by 80 pitch."""
+    e, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") % 43_200_000
+    k = F.get_json_object("props", "$.k").cast("double")
+    y = F.round(F.col("value") * 100).cast("long") % 8000 / F.lit(100.0)
+    text = F.format_string("%02d:%02d:%06.3f", F.floor(ms / 3_600_000).cast("int"), (F.floor(ms / 60_000) % 60).cast("int"), (ms % 60_000) / 1000.0)
+    return e.select(
+        i.cast("string").alias("id"),
+        i.alias("index"),
+        F.date_format("ts", "yyyyMMdd").cast("int").alias("match_id"),
+        F.when(i % 97 == 0, "Starting XI").otherwise(F.element_at(F.array(*map(F.lit, RAW_TYPES)), (i % 10 + 1).cast("int"))).alias("type"),
+        F.when(F.hour("ts") < 12, 1).otherwise(2).alias("period"),
+        F.floor(ms / 60_000).cast("int").alias("minute"),
+        (F.floor(ms / 1000) % 60).cast("int").alias("second"),
+        text.alias("timestamp"),
+        (F.col("user_id") % 2 + 1).cast("int").alias("team_id"),
+        F.when(i % 13 != 0, F.col("user_id").cast("double")).alias("player_id"),
+        F.when(i % 17 != 0, F.array(k * 1.2, y)).alias("location"),
+        F.when(i % 5 == 0, True).alias("under_pressure"),
+        F.when(i % 9 == 0, "Corner").when(i % 9 == 1, "Free Kick").when(i % 9 == 2, "Recovery").alias("pass_type"),
+        F.when(i % 3 != 0, "Incomplete").alias("pass_outcome"),
+        F.when(i % 3 == 0, "Right Foot").alias("pass_body_part"),
+        F.when(i % 7 != 0, F.array(y * 1.5, k * 0.8)).alias("pass_end_location"),
+        F.when(i % 4 == 0, "Penalty").otherwise("Open Play").alias("shot_type"),
+        F.when(F.floor(i / 10) % 5 == 0, "Goal").when(F.floor(i / 10) % 5 == 1, "Off T").alias("shot_outcome"),
+        F.when(i % 2 == 1, "Tackle").otherwise("Aerial Lost").alias("duel_type"),
+        F.when(i % 6 == 1, "Incomplete").alias("ball_receipt_outcome"),
+    )
+
+
+def n13_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(provider.normalise_events(raw_events(spark, sf_dir)).drop("freeze_frame"))
+
+
+def n7_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provider.skipped_types(raw_events(spark, sf_dir))
+
+
+def n16_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = provider.check_vocabulary(events(spark, sf_dir))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s6_supports_360(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provider.supports_360(events(spark, sf_dir))
+
+
+def s16_download_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("dataset", F.substring("match_id", 1, 9))
+    out = e.rollup("dataset").agg(F.countDistinct("match_id").alias("matches"), F.count(F.lit(1)).alias("events"), F.count_if(F.col("freeze_frame").isNotNull()).alias("with_360"))
+    return out.withColumn("dataset", F.coalesce("dataset", F.lit("TOTAL")))
+
+
+def n20_dataset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    known = e.select("match_id").distinct().where(F.col("match_id") < "2024-01-20").select("match_id", F.substring("match_id", 1, 9).alias("dataset"))
+    return e.join(known, "match_id", "left").groupBy(F.coalesce("dataset", F.lit("unknown")).alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def n22_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", file_size(F.col("n_chars") * 64).alias("size"))
+
+
+def j7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each freeze frame the least distance between the two sides, a nested loop inside the row."""
+    e = events(spark, sf_dir).where(F.col("freeze_frame").isNotNull())
+    mates, others = F.filter("freeze_frame", lambda p: p["teammate"]), F.filter("freeze_frame", lambda p: ~p["teammate"])
+    near = F.array_min(F.transform(mates, lambda t: F.array_min(F.transform(others, lambda o: F.sqrt((t["x"] - o["x"]) * (t["x"] - o["x"]) + (t["y"] - o["y"]) * (t["y"] - o["y"]))))))
+    return rounded(e.select("event_id", near.alias("nearest")))
+
+
+QUERIES = {
+    "n13_normalised": n13_normalised,
+    "n7_skipped": n7_skipped,
+    "n16_vocabulary": n16_vocabulary,
+    "s6_supports_360": s6_supports_360,
+    "s16_download_summary": s16_download_summary,
+    "n20_dataset_map": n20_dataset_map,
+    "n22_sizes": n22_sizes,
+    "j7_nearest": j7_nearest,
+}
+
+_RAW = ", ".join(f"'{t}'" for t in RAW_TYPES)
+
+RAW_SQL = f"""
+r0 AS (SELECT event_id AS i, CAST(strftime(ts, '%Y%m%d') AS INT) AS match_id, CASE WHEN hour(ts) < 12 THEN 1 ELSE 2 END AS period, (epoch_us(ts) // 1000) % 43200000 AS ms, user_id % 2 + 1 AS team_id, user_id,
+        CASE WHEN event_id % 97 = 0 THEN 'Starting XI' ELSE [{_RAW}][event_id % 10 + 1] END AS type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, (round(value * 100)::BIGINT % 8000) / 100.0::DOUBLE AS y FROM events),
+r1 AS (SELECT *, CASE WHEN type = 'Pass' THEN CASE i % 9 WHEN 0 THEN 'set_piece_corner' WHEN 1 THEN 'set_piece_free_kick' ELSE 'pass' END
+        WHEN type = 'Shot' AND i % 4 = 0 THEN 'set_piece_penalty' WHEN type = 'Shot' THEN 'shot' WHEN type = 'Duel' AND i % 2 = 1 THEN 'tackle' WHEN type = 'Duel' THEN 'duel'
+        WHEN type IN ('Carry', 'Dribble') THEN 'carry' WHEN type = 'Pressure' THEN 'pressure' WHEN type = 'Ball Receipt*' THEN 'ball_receipt' WHEN type = 'Goal Keeper' THEN 'goal_keeper' END AS event_type,
+        CASE (i // 10) % 5 WHEN 0 THEN 'Goal' WHEN 1 THEN 'Off T' END AS so FROM r0),
+h AS (SELECT match_id, arg_min(team_id, i) AS home FROM r1 WHERE type = 'Starting XI' GROUP BY match_id),
+r2 AS (SELECT r1.*, coalesce(team_id = home, false) AS at_home,
+        sum(CASE WHEN type = 'Shot' AND so = 'Goal' AND coalesce(team_id = home, false) THEN 1 ELSE 0 END) OVER w AS score_home,
+        sum(CASE WHEN type = 'Shot' AND so = 'Goal' AND NOT coalesce(team_id = home, false) THEN 1 ELSE 0 END) OVER w AS score_away
+       FROM r1 LEFT JOIN h USING (match_id) WINDOW w AS (PARTITION BY match_id ORDER BY period, i ROWS UNBOUNDED PRECEDING))
+"""
+
+ORACLES = {
+    "n13_normalised": f"""WITH {RAW_SQL}
+SELECT CAST(i AS VARCHAR) AS event_id, CAST(match_id AS VARCHAR) AS match_id, CAST(team_id AS VARCHAR) AS team_id, CASE WHEN i % 13 <> 0 THEN CAST(user_id AS VARCHAR) ELSE 'unknown' END AS player_id, period,
+  round(ms / 1000.0::DOUBLE, 8) AS timestamp, round(45.0::DOUBLE * (period - 1) + ms // 60000 + ((ms // 1000) % 60) / 60.0::DOUBLE, 8) AS match_minute,
+  round(CASE WHEN i % 17 <> 0 THEN k * 1.2::DOUBLE / 120 * 100 END, 8) AS x, round(CASE WHEN i % 17 <> 0 THEN (80 - y) / 80 * 100 END, 8) AS y,
+  round(CASE WHEN i % 7 <> 0 THEN y * 1.5::DOUBLE / 120 * 100 END, 8) AS end_x, round(CASE WHEN i % 7 <> 0 THEN (80 - k * 0.8::DOUBLE) / 80 * 100 END, 8) AS end_y, event_type,
+  CASE WHEN type = 'Pass' THEN CASE WHEN i % 3 = 0 THEN 'complete' ELSE 'incomplete' END WHEN type = 'Ball Receipt*' THEN CASE WHEN i % 6 = 1 THEN 'incomplete' ELSE 'complete' END
+       ELSE coalesce(replace(lower(so), ' ', '_'), CASE WHEN i % 3 <> 0 THEN 'incomplete' END, CASE WHEN i % 6 = 1 THEN 'incomplete' END, 'success') END AS event_outcome,
+  i % 5 = 0 AS under_pressure, CASE WHEN i % 3 = 0 THEN 'right_foot' ELSE 'unknown' END AS body_part, score_home, score_away, at_home AS team_is_home,
+  row_number() OVER (PARTITION BY match_id ORDER BY period, ms, i) AS seq
+FROM r2 WHERE event_type IS NOT NULL""",
+    "n7_skipped": f"WITH {RAW_SQL} SELECT type, count(*) AS n FROM r1 WHERE event_type IS NULL GROUP BY type",
+    "n16_vocabulary": f"WITH {EVENTS_SQL} SELECT event_type, count(*) AS n FROM ev GROUP BY event_type",
+    "s6_supports_360": f"WITH {EVENTS_SQL} SELECT match_id, bool_or(freeze_frame IS NOT NULL) AS has_360 FROM ev GROUP BY match_id",
+    "s16_download_summary": f"WITH {EVENTS_SQL} SELECT coalesce(substr(match_id, 1, 9), 'TOTAL') AS dataset, count(DISTINCT match_id) AS matches, count(*) AS events, count(freeze_frame) AS with_360 FROM ev GROUP BY ROLLUP (substr(match_id, 1, 9))",
+    "n20_dataset_map": f"WITH {EVENTS_SQL} SELECT CASE WHEN match_id < '2024-01-20' THEN substr(match_id, 1, 9) ELSE 'unknown' END AS dataset, count(*) AS n FROM ev GROUP BY 1",
+    "n22_sizes": "SELECT doc_id, CASE WHEN n_chars * 64 < 1024 THEN format('{:d} B', n_chars * 64) WHEN n_chars * 64 < 1048576 THEN printf('%.1f KB', floor(n_chars * 64 / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * 64 / 1048576 * 10 + 0.5) / 10) END AS size FROM documents",
+    "j7_nearest": f"""WITH {EVENTS_SQL}, p AS (SELECT event_id, list_filter(freeze_frame, lambda q: q.teammate) AS t, list_filter(freeze_frame, lambda q: NOT q.teammate) AS o FROM ev WHERE freeze_frame IS NOT NULL)
+SELECT event_id, round(list_min(list_transform(t, lambda a: list_min(list_transform(o, lambda b: sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))))), 8) AS nearest FROM p""",
+}
