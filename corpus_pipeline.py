@@ -20,7 +20,7 @@ from pitchlake.llm.mixing import mix_sources
 from pitchlake.llm.packing import pack_power_of_two
 
 #: From this confidence on, a predicted language that isn't the declared one rejects the document.
-SURE = 0.75
+SURE = 0.9
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

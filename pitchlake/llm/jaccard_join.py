@@ -15,9 +15,10 @@ similar sets to share a signature, and SPARE more let very common signatures be
   partner. A first pass only counts these meetings. Of the sets that are left, those stay of which a share of at least num / den
   of the elements is found in any other: a similar set has that many of them. Only then buckets are paired.
 * In a bucket the smallest id is the pivot, and only (pivot, member) pairs come out, never all pairs. Each set is first verified
-  against the pivot with which it shares most signatures; then only pairs between different components so far are verified. Last, in
-  buckets where a member is not in its pivot's component, the other pairs between components follow. No link between components
-  is lost, and pairs inside a component need no look.
+  against the pivot with which it shares most signatures; then only pairs between different components so far are verified. Last, among
+  sets of buckets where a member is not in its pivot's component, the other pairs between components follow: a set looks only at
+  its rarest elements, just so many that the others alone can't make it similar to any. No link between components is lost, and
+  pairs inside a component need no look.
 
 All verification is exact: it compares the whole sets of 64-bit element hashes.
 """
@@ -333,19 +334,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
         if not failed.isEmpty():
             around = stars.join(failed, "a", "left_semi")
             around = cut(around.select(F.col("a").alias("_id")).union(around.select(F.col("b").alias("_id"))).distinct())
-            again = _signed(pick(texts, around, ["_id"], "left_semi"), width, scheme, with_info=False).select("sig", "node").join(rows.select("sig").distinct(), "sig", "left_anti")
-            again = again.union(heavy.join(around.select(F.col("_id").alias("node")), "node", "left_semi").select("sig", "node"))
-            labelled = again.join(so_far, "node", "left").join(known, "node").select("sig", "node", "size", "common", F.coalesce("component", "node").alias("c"))
-            mixed = labelled.withColumn("low", F.min("c").over(in_sig)).withColumn("high", F.max("c").over(in_sig)).where("low < high").select("sig", "node", "size", "common", "c")
-            mixed = cut(mixed)
-            # a set with a partner in another component shares as many of these signatures as any similar sets
-            tagged = mixed.withColumn("tag", F.col("sig").bitwiseAND(255))
-            enough = tagged.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).join(facts, "node").withColumn("need", F.greatest(F.lit(1), spare + 1)).where(F.col("n") >= F.col("need"))
-            tagged = cut(tagged.join(enough.select("node", "tag", "need"), ["node", "tag"]))
-            x, y = tagged.alias("x"), tagged.alias("y")
+            # any similar pair among these shares one of the rarest elements of either, of which each needs to look at few
+            per_node = Window.partitionBy("node")
+            again = _elements(pick(texts, around, ["_id"], "left_semi"), width).withColumn("g", F.count(F.lit(1)).over(in_sig)).where("g > 1")
+            again = again.join(known.select("node", "size"), "node").withColumn("common", F.count(F.lit(1)).over(per_node)).withColumn("at", F.row_number().over(per_node.orderBy("g", "sig")))
+            again = again.where(den * (F.col("common") - F.col("at") + 1) >= num * F.col("size"))
+            labelled = again.join(so_far, "node", "left").select("sig", "node", "size", "common", F.coalesce("component", "node").alias("c"))
+            mixed = cut(labelled.withColumn("low", F.min("c").over(in_sig)).withColumn("high", F.max("c").over(in_sig)).where("low < high").drop("low", "high"))
+            x, y = mixed.alias("x"), mixed.alias("y")
             cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & _possible(F.col("x.size"), F.col("y.size"), F.col("x.common"), F.col("y.common"), num, den))
-            cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("x.need", "y.need")).alias("need"))
-            cross = cross.where("n >= need").select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+            cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
             last = _verified(cross, texts, width, scheme)
             if not last.isEmpty():
                 links = cut(links.union(last))
