@@ -19,15 +19,41 @@ from pitchlake.llm.line_dedup import line_dedup
 from pitchlake.llm.mixing import mix_sources
 from pitchlake.llm.packing import pack_power_of_two
 
-#: From this confidence on, a predicted language that isn't the declared one rejects the document.
-SURE = 0.9
+#: A predicted language that isn't the declared one rejects the document if its score is at least this quantile of the scores
+#: of the documents that declare the predicted language and get it.
+SURE_QUANTILE = 0.01
+#: Steps of the score in which the quantiles are counted.
+STEPS = 1000
+
+
+def sure_scores(found: DataFrame) -> dict[str, float]:
+    """For each language the SURE_QUANTILE of the scores of all documents that declare it and get it, down to a whole step."""
+    right = found.where(F.col("lang_pred") == F.col("lang"))
+    counts: dict[str, dict[int, int]] = {}
+    for r in right.groupBy("lang_pred", F.floor(F.col("score") * STEPS).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.lang_pred, {})[r.step] = r.n
+    sure = {}
+    for lang, by_step in counts.items():
+        below, least = 0, SURE_QUANTILE * sum(by_step.values())
+        for step in sorted(by_step):
+            below += by_step[step]
+            if below >= least:
+                sure[lang] = step / STEPS
+                break
+    return sure
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language can't be told (no letter), or surely isn't the one they declare; a null language declares none."""
+    """Documents go whose language can't be told (no letter), or surely isn't the one they declare; a null language declares none.
+
+    Sure is a score that is usual for the predicted language, by ``sure_scores``; a language that no document declares and
+    gets rejects none.
+    """
     own = docs.columns
     found = identify_languages(docs, own=own)
-    wrong = (F.col("lang_pred") == "und") | (F.col("lang").isNotNull() & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE))
+    sure = sure_scores(found)
+    least = F.create_map(*[x for lang in sorted(sure) for x in (F.lit(lang), F.lit(sure[lang]))])[F.col("lang_pred")] if sure else F.lit(None).cast("double")
+    wrong = (F.col("lang_pred") == "und") | (F.col("lang").isNotNull() & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= least))
     return found.where(~F.coalesce(wrong, F.lit(False))).select(*own)
 
 

@@ -32,3 +32,12 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mislabelled_documents_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = F.create_map(*[F.lit(x) for x in ("en", "fr", "fr", "en", "de", "es", "es", "de")])[F.col("lang")]
+    wrong = docs.where("doc_id % 8 = 3 AND n_chars >= 200").select((F.col("doc_id") + 90000).alias("doc_id"), "text", other.alias("lang"), "source", "n_chars")
+    left = corpus_pipeline.keep_known_languages(spark, docs.union(wrong), SF).select("doc_id").toPandas().doc_id
+    assert wrong.count() >= 15 and (left > 90000).sum() == 0
+    assert (left < 90000).sum() == docs.count()
