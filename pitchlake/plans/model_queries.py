@@ -76,12 +76,12 @@ def m11_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m25_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where(F.col("x").isNotNull() & (F.col("match_id") < "2024-01-06"))
+    e = events(spark, sf_dir).where(F.col("x").isNotNull())
     return changepoint.detect(e, ["x", "y"], GROUP, ORDER, config=ChangepointConfig("pelt", "rbf", 3.0, 10))
 
 
 def m30_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where(F.col("x").isNotNull() & (F.col("match_id") < "2024-01-06"))
+    e = events(spark, sf_dir).where(F.col("x").isNotNull())
     return changepoint.summary(changepoint.detect(e, ["x", "y"], GROUP, ORDER, config=ChangepointConfig("binseg", "l2", 20_000.0, 10)))
 
 
@@ -125,6 +125,11 @@ def m26_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(changepoint.feature_deltas(e, ["x", "y", "end_x"], ["match_id"], ["seq"], "at", top=2))
 
 
+def m26_deltas_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("match_id", "seq", *[F.coalesce(c, F.lit(50.0)).alias(c) for c in ("x", "y", "end_x")], F.lit(True).alias("at"))
+    return rounded(changepoint.feature_deltas(e, ["x", "y", "end_x"], ["match_id"], ["seq"], "at", top=3))
+
+
 QUERIES = {
     "p2_medians": p2_medians,
     "p6_moments": p6_moments,
@@ -142,6 +147,7 @@ QUERIES = {
     "m24_agreement": m24_agreement,
     "m25_changepoints": m25_changepoints,
     "m26_deltas": m26_deltas,
+    "m26_deltas_every": m26_deltas_every,
     "m30_summary": m30_summary,
 }
 
