@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block of the silhouette, about.
+BLOCK = 4096
+
 
 def smooth(df: DataFrame, label: str, group: Sequence[str], order: Sequence[str], size: int = 5, out: str | None = None) -> DataFrame:
     """The most frequent label of a centred window (an even size counts one more), the smallest of ties; a size up to 1 changes nothing."""
@@ -51,22 +57,68 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(ari.alias("ari"), nmi.alias("nmi"))
 
 
-def silhouette(df: DataFrame, vector: str, label: str, key: str, limit: int = 5000) -> DataFrame:
+def _distance_sums(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, kx: int, ky: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of Euclidean distances: of each row of x to the clusters of y, and of each row of y to the clusters of x.
+
+    Squares are |u|² + |v|² - 2uv, and sums of squared differences where so little is left that digits would be lost.
+    """
+    member = np.zeros((len(y), ky))
+    member[np.arange(len(y)), cy] = 1
+    to_y, to_x = np.zeros((len(x), ky)), np.zeros((kx, len(y)))
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    step = max(1, (1 << 22) // max(1, y.size))
+    for i in range(0, len(x), step):
+        u = x[i : i + step]
+        scale = xx[i : i + step, None] + yy[None]
+        square = scale - 2 * (u @ y.T)
+        a, b = np.nonzero(square <= 1e-4 * scale)
+        square[a, b] = ((u[a] - y[b]) ** 2).sum(1)
+        d = np.sqrt(square)
+        to_y[i : i + step] = d @ member
+        np.add.at(to_x, cx[i : i + step], d)
+    return to_y, to_x.T
+
+
+def silhouette(df: DataFrame, vector: str, label: str, key: str) -> DataFrame:
     """One row: the mean silhouette by Euclidean distance; -1 with fewer than two labels or as many labels as rows.
 
-    Distances of all pairs are needed, so beyond ``limit`` rows the report is on the ``limit`` rows with the least key hash;
-    the limit belongs to this report.
+    Exact: every pair of rows is measured once, in pairs of blocks of about BLOCK rows, and what leaves a pair is each row's sum of
+    distances per cluster. Work grows with the square of the rows. ``key`` is unique. A row without vector or label counts as 0.
     """
-    rows = df.select(key, vector, F.col(label).alias("c")).orderBy(F.xxhash64(key)).limit(limit)
-    n = F.struct(F.countDistinct("c").alias("k"), F.count(F.lit(1)).alias("n"))
-    d = lambda u, v: F.sqrt(F.aggregate(F.zip_with(u, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, F.col(f"x.{key}") != F.col(f"y.{key}")).select(F.col(f"x.{key}").alias("i"), F.col("x.c").alias("ci"), F.col("y.c").alias("cj"), d(F.col(f"x.{vector}").cast("array<double>"), F.col(f"y.{vector}").cast("array<double>")).alias("d"))
-    by = pairs.groupBy("i", "ci", "cj").agg(F.avg("d").alias("d"))
-    per = by.groupBy("i", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    facts = rows.agg(n.alias("f"))
-    return per.agg(F.avg(s).alias("s")).crossJoin(facts).select(F.when((F.col("f.k") < 2) | (F.col("f.k") >= F.col("f.n")), -1.0).otherwise(F.col("s")).alias("silhouette"))
+    every = df.select(F.col(key).alias("i"), F.col(vector).alias("e"), F.col(label).alias("c"))
+    n = every.count()
+    blocks = max(1, -(-n // BLOCK))
+    rows = every.where(F.col("e").isNotNull() & F.col("c").isNotNull()).withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    last = F.lit(blocks - 1)
+    left = rows.select("i", "e", "c", F.lit(True).alias("first"), F.col("b").alias("b1"), F.explode(F.sequence(F.col("b"), last)).alias("b2"))
+    right = rows.select("i", "e", "c", F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("b1"), F.col("b").alias("b2"))
+    kinds = {f.name: f.dataType for f in every.schema}
+    schema = f"i {kinds['i'].simpleString()}, ci {kinds['c'].simpleString()}, cj {kinds['c'].simpleString()}, s double"
+
+    def run(key: tuple, both: pa.Table) -> pa.Table:
+        x, y, parts = both.filter(both.column("first")), both.filter(pc.invert(both.column("first"))), []
+        if len(x) and len(y):
+            (ex, vx, cx), (ey, vy, cy) = ((np.array(t.column("e").to_pylist(), dtype=float), *_coded(t.column("c"))) for t in (x, y))
+            to_y, to_x = _distance_sums(ex, ey, cx, cy, len(vx), len(vy))
+            parts = [(x, vy, to_y)] if key[0].as_py() == key[1].as_py() else [(x, vy, to_y), (y, vx, to_x)]
+        tables = [pa.table({"i": t.column("i"), "ci": t.column("c"), "cj": pa.array([v] * len(t), t.schema.field("c").type), "s": sums[:, j]}) for t, values, sums in parts for j, v in enumerate(values)]
+        return pa.concat_tables(tables) if tables else pa.table({"i": x.column("i")[:0], "ci": x.column("c")[:0], "cj": x.column("c")[:0], "s": pa.array([], pa.float64())})
+
+    sums = left.unionByName(right).groupBy("b1", "b2").applyInArrow(run, schema).groupBy("i", "ci", "cj").agg(F.sum("s").alias("s"))
+    sizes = rows.groupBy(F.col("c").alias("cj")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("ci") == F.col("cj")
+    by = sums.join(sizes, "cj").select("i", own.alias("own"), (F.col("s") / F.nullif(F.col("n") - own.cast("int"), F.lit(0))).alias("d"))
+    per = by.groupBy("i").agg(F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
+    top = F.greatest("a", "b")
+    s = F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
+    facts = every.agg(F.struct(F.countDistinct("c").alias("k"), F.count(F.lit(1)).alias("n")).alias("f"))
+    return per.agg(F.sum(s).alias("s")).crossJoin(facts).select(F.when((F.col("f.k") < 2) | (F.col("f.k") >= F.col("f.n")), -1.0).otherwise(F.col("s") / F.col("f.n")).alias("silhouette"))
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[list, np.ndarray]:
+    """The distinct values, and each value's place among them."""
+    coded = column.combine_chunks().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
 
 
 def soft_assignment(df: DataFrame, vector: str, centres: Sequence[Sequence[float]], keys: Sequence[str]) -> DataFrame:

@@ -120,6 +120,11 @@ def m23_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.silhouette(v, "e", "label", "vec_id").select(F.round("silhouette", 8).alias("silhouette"))
 
 
+def m23_silhouette_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows and all dimensions; pairs are too many for SQL."""
+    return labels.silhouette(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "label", "vec_id")
+
+
 def m26_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("match_id", "seq", F.coalesce("x", F.lit(50.0)).alias("x"), F.coalesce("y", F.lit(50.0)).alias("y"), F.coalesce("end_x", F.lit(50.0)).alias("end_x"), ((F.col("seq") % 40 == 0)).alias("at"))
     return rounded(changepoint.feature_deltas(e, ["x", "y", "end_x"], ["match_id"], ["seq"], "at", top=2))
@@ -144,6 +149,7 @@ QUERIES = {
     "m16_loss": m16_loss,
     "m20_soft": m20_soft,
     "m23_silhouette": m23_silhouette,
+    "m23_silhouette_whole": m23_silhouette_whole,
     "m24_agreement": m24_agreement,
     "m25_changepoints": m25_changepoints,
     "m26_deltas": m26_deltas,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from pitchlake.models import labels
 from pitchlake.plans import registry
 from pitchlake.plans.feature_queries import events
 
@@ -29,3 +32,37 @@ def test_deltas_of_every_row(spark):
             v = rows[c].to_numpy()
             for i in range(1, len(v)):
                 assert abs(at[match, rows.seq.iloc[i], c] - (v[i : i + 5].mean() - v[max(0, i - 5) : i].mean())) < 1e-7
+
+
+def silhouette(x, c):
+    """By brute force."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i in range(len(x)):
+        mean = {k: d[i, (c == k) & (np.arange(len(x)) != i)].mean() for k in set(c) if ((c == k) & (np.arange(len(x)) != i)).any()}
+        a, b = mean.get(c[i]), min(v for k, v in mean.items() if k != c[i])
+        out.append(0.0 if a is None else (b - a) / max(a, b))
+    return np.mean(out)
+
+
+def test_silhouette_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(labels, "BLOCK", 60)
+    rng = np.random.default_rng(4)
+    c = np.append(rng.integers(0, 3, 250), 3)
+    x = rng.normal(0, 1, (251, 5)) + c[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "i bigint, e array<double>, c int")
+    assert labels.silhouette(df, "e", "c", "i").first().silhouette == pytest.approx(silhouette(x, c), abs=1e-12)
+    assert labels.silhouette(df.where("c = 1"), "e", "c", "i").first().silhouette == -1
+
+
+def test_silhouette_query_reads_all_rows(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    want = silhouette(np.array(v.embedding.tolist(), dtype=float), v.label.to_numpy())
+    assert registry.queries()["m23_silhouette_whole"](spark, "/root/testdata/sf0.1").first().silhouette == pytest.approx(want, abs=1e-9)
+
+
+def test_silhouette_beyond_5000_rows(spark):
+    rows = spark.range(6000).select("id", F.array(F.when(F.col("id") % 2 == 0, F.col("id") * 0.001).otherwise(10 - F.col("id") * 0.0005)).alias("e"), (F.col("id") % 2).alias("c"))
+    p = rows.toPandas()
+    x, c = np.array(p.e.tolist()), p.c.to_numpy()
+    assert labels.silhouette(rows, "e", "c", "id").first().silhouette == pytest.approx(silhouette(x, c), abs=1e-9)
