@@ -24,8 +24,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*GROUP, *ORDER, F.floor(F.col("x") / 34).cast("int").alias("a"), F.floor(F.col("y") / 34).cast("int").alias("b"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str, d: int = 6) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    d = v.agg(F.max(F.size("embedding"))).first()[0]
     return v.select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"t1_e{i}") for i in range(d)])
 
 
@@ -53,9 +54,11 @@ def p8_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[mixture.GaussianMixture, list, DataFrame]:
-    v = _vectors(spark, sf_dir).repartition(8, "vec_id").persist()
-    m, table = mixture.select_mixture(v, [f"t1_e{i}" for i in range(6)], MixtureConfig(2, 4, n_init=2, max_iter=25))
-    return m, table, v
+    v = _vectors(spark, sf_dir)
+    p = preprocessing.Preprocessor(PreprocessConfig("t1_", "drop_rows", 0.95)).fit(v)
+    z = p.transform(v, ["vec_id"]).repartition(8, "vec_id").persist()
+    m, table = mixture.select_mixture(z, p.columns_out)
+    return m, table, z
 
 
 def m7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +72,10 @@ def m3_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m11_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = HmmConfig()
     e = events(spark, sf_dir).where(F.col("x").isNotNull()).select(*GROUP, *ORDER, "x", "y").persist()
-    seed = mixture.fit_mixtures(e, ["x", "y"], [3], MixtureConfig(3, 3, n_init=1, max_iter=10))[3]
-    hmm = sequence.fit_hmm(e, ["x", "y"], GROUP, ORDER, seed, HmmConfig(3, max_iter=5))
+    seed = mixture.fit_mixtures(e, ["x", "y"], [c.n_states], MixtureConfig())[c.n_states]
+    hmm = sequence.fit_hmm(e, ["x", "y"], GROUP, ORDER, seed, c)
     return hmm.decode(e, GROUP, ORDER)
 
 

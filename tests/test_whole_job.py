@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitchlake.config import MixtureConfig
 from pitchlake.models import labels
-from pitchlake.plans import registry
+from pitchlake.plans import model_queries, registry
 from pitchlake.plans.feature_queries import events
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,19 @@ def test_silhouette_beyond_5000_rows(spark):
     p = rows.toPandas()
     x, c = np.array(p.e.tolist()), p.c.to_numpy()
     assert labels.silhouette(rows, "e", "c", "id").first().silhouette == pytest.approx(silhouette(x, c), abs=1e-9)
+
+
+def test_mixture_of_whole_vectors(spark, monkeypatch):
+    seen = {}
+
+    def select(df, columns, config=None):
+        seen.update(columns=columns, config=config or MixtureConfig())
+        return None, [], df
+
+    monkeypatch.setattr(model_queries.mixture, "select_mixture", lambda *a: select(*a)[:2])
+    _, _, z = model_queries._mixture(spark, SF)
+    assert seen["config"] == MixtureConfig() and len(seen["columns"]) > 50 and z.count() == 500
+
+
+def test_decoded_states(spark):
+    assert [c for c in registry.queries()["m11_decoded"](spark, SF).columns if c.startswith("hmm_state_prob")] == [f"hmm_state_prob_{k}" for k in range(6)]
