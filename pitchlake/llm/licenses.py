@@ -2,17 +2,18 @@
 
 The templates' words are put in one global order, rarest first, by the number of documents of the whole corpus that have
 them. A block that contains at least ``need`` of a template's words must have one of its first |T| - need + 1 words (prefix
-filter), needs that many template words at all (length filter), and what is left after the first common word must still
-be enough (positional filter). Only blocks that pass are counted in full. Phrases are templates of the block "whole
+filter), so only windows around those words are looked at. Phrases are templates of the block "whole
 document" with containment 1; an exact look at the places where their words stand consecutively follows.
 
-Blocks are runs of ``block_lines`` lines, so a template wrapped over a few lines is found too.
+Blocks are all windows of ``span`` times the template's number of words, over the whole text: line ends are nothing but
+separators. A template's words that name its license (``NAMES``) have to be in the block, whatever else may be missing.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from bisect import bisect
+from collections import Counter, deque
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -42,6 +43,9 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 )
 
+#: Words that tell a license from others: a block of a template that has one has it too. Fixed values.
+NAMES = frozenset(("apache", "mit", "nc", "sa", "attribution", "mozilla"))
+
 #: A-Z become a-z; a-z, 0-9 and all bytes of non-ASCII characters stay; every other ASCII character separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -57,23 +61,23 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[bytes]:
 class Templates:
     """The templates as word sets in the global order, and the index of their prefixes."""
 
-    def __init__(self, phrases: Mapping[str, str], templates: Sequence[tuple[str, str]], threshold: float, seen: Mapping[str, int], block_lines: int) -> None:
+    def __init__(self, phrases: Mapping[str, str], templates: Sequence[tuple[str, str]], threshold: float, seen: Mapping[str, int], span: int) -> None:
         def rank(w: bytes) -> tuple[int, bytes]:
             return seen.get(w.decode(), 0), w
 
-        self.block_lines = block_lines
         self.phrases = [(words_of(p.encode()), label) for p, label in phrases.items()]
         self.rarest = [min(p, key=rank) for p, _ in self.phrases]
         self.sets = [(label, sorted(set(words_of(t.encode())), key=rank)) for label, t in templates]
         self.need = [math.ceil(threshold * len(t)) for _, t in self.sets]
-        self.at = [{w: i for i, w in enumerate(t)} for _, t in self.sets]
+        self.at = [frozenset(t) for _, t in self.sets]
+        self.names = [[w for w in t if w.decode() in NAMES] for _, t in self.sets]
+        self.width = [span * len(words_of(t.encode())) for _, t in templates]
         self.prefix: dict[bytes, list[int]] = {}
         for k, (_, t) in enumerate(self.sets):
             for w in t[: len(t) - self.need[k] + 1]:
                 self.prefix.setdefault(w, []).append(k)
         self.watched = frozenset(self.prefix) | frozenset(self.rarest)
         self.vocabulary = frozenset(w for _, t in self.sets for w in t)
-        self.rank = {w: rank(w) for w in self.vocabulary}
 
     def places(self, words: list[bytes], met: set[bytes]) -> list[tuple[int, int, str]]:
         """(start, end, label) of every place where a phrase's words stand consecutively."""
@@ -84,49 +88,48 @@ class Templates:
                 found += [(i - shift, i - shift + n - 1, label) for i, w in enumerate(words) if w == rare and i >= shift and words[i - shift : i - shift + n] == phrase]
         return found
 
-    def blocks(self, text: bytes, met: set[bytes]) -> list[tuple[int, int, str, float]]:
+    def blocks(self, words: list[bytes], met: set[bytes]) -> list[tuple[int, int, str, float]]:
         """(first, last, label, containment) of the blocks that contain enough of a template; of overlapping ones with a label the best."""
         if not met & self.prefix.keys():
             return []
-        lines, starts, at = [], [], 0
-        for line in text.split(b"\n"):
-            lines.append(words_of(line))
-            starts.append(at)
-            at += len(lines[-1])
+        near: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            for k in self.prefix.get(w, ()):
+                near.setdefault(k, []).append(i)
         hits: dict[str, list[tuple[float, int, int]]] = {}
-        done: set[tuple[int, int]] = set()
-        for n, line in enumerate(lines):
-            for k in {k for w in line if w in self.prefix for k in self.prefix[w]}:
-                for top in range(max(0, n - self.block_lines + 1), n + 1):
-                    if (top, k) in done:
-                        continue
-                    done.add((top, k))
-                    places = [(starts[m] + i, w) for m in range(top, min(top + self.block_lines, len(lines))) for i, w in enumerate(lines[m]) if w in self.vocabulary]
-                    if (c := self.contained(k, {w for _, w in places})) is not None:
-                        own = [i for i, w in places if w in self.at[k]]
-                        hits.setdefault(self.sets[k][0], []).append((c, own[0], own[-1]))
+        for k, at in near.items():
+            hits.setdefault(self.sets[k][0], []).extend(self.windows(k, words, at))
         found = []
         for label, all_of in hits.items():
-            taken: list[tuple[int, int]] = []
-            for c, first, last in sorted(all_of, key=lambda h: (-h[0], h[2] - h[1], h[1])):
-                if all(last < a or first > b for a, b in taken):
-                    taken.append((first, last))
+            taken: list[tuple[int, int]] = []  # in order, none overlaps another
+            for c, first, last in sorted(all_of, key=lambda h: (-h[0], h[2], -h[1])):
+                j = bisect(taken, (first, last))
+                if (j == 0 or taken[j - 1][1] < first) and (j == len(taken) or taken[j][0] > last):
+                    taken.insert(j, (first, last))
                     found.append((first, last, label, c))
         return sorted(found)
 
-    def contained(self, k: int, block: set[bytes]) -> float | None:
-        """The share of template k that a block of template words has, if that is enough."""
-        size, need, at = len(self.sets[k][1]), self.need[k], self.at[k]
-        if len(block) < need:
-            return None
-        ordered = sorted(block, key=self.rank.__getitem__)
-        for j, w in enumerate(ordered):
-            if w in at:
-                if 1 + min(size - at[w], len(ordered) - j) - 1 < need:
-                    return None
-                break
-        common = sum(w in at for w in ordered)
-        return common / size if common >= need else None
+    def windows(self, k: int, words: list[bytes], near: list[int]) -> Iterator[tuple[float, int, int]]:
+        """(containment, first, last) of the windows around the places ``near`` that have enough of template k and its names, each without spare words at its start."""
+        own, width, need, names, size = self.at[k], self.width[k], self.need[k], self.names[k], len(self.sets[k][1])
+        held: deque[tuple[int, bytes]] = deque()
+        n: Counter[bytes] = Counter()
+        done = -1
+        for p in near:
+            for i in range(max(done + 1, p - width + 1), min(len(words), p + width)):
+                done = i
+                w = words[i]
+                if w not in own:
+                    continue
+                held.append((i, w))
+                n[w] += 1
+                while held[0][0] <= i - width or n[held[0][1]] > 1:
+                    old = held.popleft()[1]
+                    n[old] -= 1
+                    if not n[old]:
+                        del n[old]
+                if len(n) >= need and all(x in n for x in names):
+                    yield len(n) / size, held[0][0], i
 
 
 def template_word_counts(docs: DataFrame, words: frozenset[bytes], text_col: str = "text") -> dict[str, int]:
@@ -148,7 +151,7 @@ def scan_licenses(
     phrases: Mapping[str, str] = PHRASES,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     threshold: float = 0.85,
-    block_lines: int = 3,
+    span: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -161,21 +164,21 @@ def scan_licenses(
     are scanned each, an empty table gives an empty result, and extra columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    known = Templates(phrases, templates, threshold, {}, block_lines)
+    known = Templates(phrases, templates, threshold, {}, span)
     every = known.vocabulary | {w for p, _ in known.phrases for w in p}
     seen = template_word_counts(docs, every, text_col)
     block = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("containment", pa.float64())])
     schema = f"{id_col} {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, blocks array<struct<label:string,first:bigint,last:bigint,containment:double>>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Templates(phrases, templates, threshold, seen, block_lines)
+        t = Templates(phrases, templates, threshold, seen, span)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for text in _texts(batch, 1):
                 words = words_of(text)
                 met = set(t.watched.intersection(words))
                 base = t.places(words, met) if met else []
-                found = t.blocks(text, met) if met else []
+                found = t.blocks(words, met) if met else []
                 own = {x[2] for x in base}
                 row = (
                     len(words),

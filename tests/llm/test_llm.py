@@ -285,6 +285,24 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_blocks(spark):
+    grant = dict((label, t) for label, t in licenses.TEMPLATES if len(t) > 100)["mit"].split()
+    rows = [
+        (1, "x y\n" + "\n".join(" ".join(grant[i : i + 4]) for i in range(0, 20, 4)) + "\nz", "mit"),
+        (2, "Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+        (3, "Licensed under CC BY 4.0", "cc-by"),
+        (4, "licensed\nunder\ncc\nby\nsa\n4\n0", "cc-by,cc-by-sa"),
+        (5, "Licensed under the Zebra License Version 2.0", ""),
+        (6, "Licensed under the Apache Licence, Version 2.0; released under the MIT license", "apache,mit"),
+        (7, "\n".join(grant * 2), "mit"),
+        (8, " ".join(grant[:10]) + " w" * 60 + " " + " ".join(grant[10:]), ""),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, [r[:2] for r in rows])).collect()}
+    assert {i: got[i].labels for i, _, _ in rows} == {i: labels for i, _, labels in rows}
+    assert [(b.first, b.last, b.containment) for b in got[1].blocks] == [(2, 21, 1.0)]
+    assert [(b.first, b.last) for b in got[7].blocks] == [(0, 19), (20, 39)]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/é\r\nX: y", "<p>a</p>"), (2, None, None), (3, "", "<p>a</p>"), (None, "http://b", "<p>a</p>"), (4, "u", ""), (4, "u", ""), (5, "v", "日" * 5000)]
     rows += [(i, f"http://s/{i}", f"<html><p>page {i % 37} of many</p></html>") for i in range(10, 200)]
