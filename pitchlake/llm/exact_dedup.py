@@ -6,7 +6,8 @@ Everything on the path is a built-in DataFrame expression.
   keeps texts apart that collide. Partial aggregation sends one row per distinct text and map task, so a text that
   makes up a third of the table costs no more than any other.
 * What each row needs from its group (the id that stays, the group's size) comes back by a join on (hash, SHA-256, salt).
-  A group is repeated for the salts that its rows really use, so a hot group is spread over SALTS tasks.
+  A group is repeated for the salts that its rows really use, and there are as many salts as shuffle partitions, so a hot
+  group is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import ascii_lower, hidden, per_salt, salt, used_salts
+from pitchlake.llm.common import ascii_lower, cut, hidden, salt, salts, spread
 
 
 def exact_dedup(
@@ -38,10 +39,10 @@ def exact_dedup(
     if keep not in ("min", "max"):
         raise ValueError("keep must be 'min' or 'max'")
     base = hidden(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("_id"), normalise(F.col(f"`{text_col}`")).alias("_norm"))
-    base = base.withColumn("_h", content_hash(F.col("_norm"))).withColumn("_s", salt(F.col("_id")))
+    base = base.withColumn("_h", content_hash(F.col("_norm")))
     best = F.min("_id") if keep == "min" else F.max("_id")
-    groups = base.groupBy("_h", "_norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"), used_salts(F.col("_s")).alias("_mask"))
-    groups = groups.select("_h", F.sha2("_norm", 256).alias("text_sha256"), "keep_id", "group_size", "_mask")
-    rows = base.select("_id", "_h", F.sha2("_norm", 256).alias("text_sha256"), "_s")
-    out = rows.join(per_salt(groups, "_mask", "_s"), ["_h", "text_sha256", "_s"])
+    groups = base.groupBy("_h", "_norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select("_h", F.sha2("_norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    rows = cut(base.select("_id", "_h", F.sha2("_norm", 256).alias("text_sha256"), salt(salts(docs), F.col("_id")).alias("_s")))
+    out = rows.join(spread(rows, groups, ["_h", "text_sha256"]), ["_h", "text_sha256", "_s"])
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -1,56 +1,60 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets whose similarity J is at least g differ in at most (|a| + |b|) (1 - g) / (1 + g) elements. Sizes are cut into bands such that
-similar sets are in the same or in neighbouring bands; each set signs for its own band and for the next. For a band the
-domain of element hashes is partitioned into ranges, and a signature names the elements of one range: sets that differ in d
-elements differ in at most d ranges, so of the enumerated ranges that hold elements of a all but d have the same signature
-in both. Ranges are enumerated in one order for all sets, those with most elements first, so d + 1 of them are enough for two
-similar sets to share a signature, and SPARE more let very common signatures be left out:
-
-* A signature in more than COMMON sets is common. A set whose enumerated signatures without the common ones still outnumber d
-  meets every partner at another signature. Only sets that consist of common signatures for the most part (members of large
-  groups of near copies) meet at these.
+Sets whose similarity is at least num / den differ in at most k = (|a| + |b|) (den - num) / (den + num) elements. Sizes are cut into
+bands such that similar sets are in the same or in neighbouring bands; each set signs for its own band and for the next.
+
+Signatures. A band partitions the domain of element hashes into n1 first-level partitions, each of them into n2 second-level
+ones. Of n1 partitions of two similar sets at most k / (k2 + 1) differ in more than k2 elements; in any other at least n2 - k2 of
+the second-level partitions are the same. A set therefore signs, for each first-level partition, every subset of n2 - k2 of its
+second-level partitions, by the elements that these hold. ``Scheme.shape`` gives n1, k2 and n2 of a band. Subsets without any
+element don't sign, because all sets would meet there; a set whose elements lie so that this might lose its last shared signature
+signs each single element besides. Two similar sets share a signature, always.
+
+Steps.
+
 * Equal texts are joined beforehand; one of them stands for all.
-* Because similar sets share SPARE + 1 of the enumerated signatures and not just one, a set that meets others at fewer has no
-  partner. A first pass only counts these meetings. Of the sets that are left, those stay of which a share of at least num / den
-  of the elements is found in any other: a similar set has that many of them. Only then buckets are paired.
-* In a bucket the smallest id is the pivot, and only (pivot, member) pairs come out, never all pairs. Each set is first verified
-  against the pivot with which it shares most signatures; then only pairs between different components so far are verified. Last, among
-  sets of buckets where a member is not in its pivot's component, the other pairs between components follow: a set looks only at
-  its rarest elements, just so many that the others alone can't make it similar to any. No link between components is lost, and
-  pairs inside a component need no look.
-
-All verification is exact: it compares the whole sets of 64-bit element hashes.
+* ``missing``: a set of which more than (den - num) / den of the elements are in no other set has no partner. A first pass looks
+  at a fixed share of the element domain only (that many missing there are enough to tell), a second one, for the sets that are left, at
+  all elements. This only spares signatures; no link comes from it.
+* ``stars``: of the sets with a signature the one with most elements in common with others is its pivot. All pairs of sets that
+  share a signature are in one group, that of its pivot, so (pivot, member) rows say all; pairs are never emitted.
+* ``verify_leads``: each set is compared with the pivot with which it shares most signatures. These links give first components.
+* ``verify_groups``: in groups with more than one component the pairs between components are compared, inside a task, and only links
+  that join two components come out. A group is cut into blocks of BLOCK elements, and a task holds two blocks; blocks of one
+  component aren't compared with each other.
+
+Every comparison is exact: it counts the common 64-bit element hashes of whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import ascii_lower, cut, hidden, per_salt, salt, used_salts
+from pitchlake.llm.common import BLANKS, ascii_lower, attach, cut, hidden, pick, salt, salts, spread, with_least
 from pitchlake.llm.components import components
 
-#: A signature of more sets than this is common.
-COMMON = 32
-#: Share of a band's largest size that is enumerated beyond d + 1, the same for all sets of a band.
-SPARE = 0.05
-#: Mean number of elements in a range for the largest sets of a band, and the size below which each element is a range.
-FILL, SMALL = 2.2, 48
-#: How often sets with too few elements in common with any other are dropped; each round can leave others with too few.
-ROUNDS = 3
-#: Up to so many ids are broadcast to pick rows of documents (16 bytes each); beyond, they are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Up to this k a band has one first-level partition and subsets of two second-level ones; beyond, k2 = 1 and n2 = 3.
+FEW = 5
+#: The share of the element domain that the first pass looks at is this many times the share of elements that may be missing.
+LOOK = 1.6
+#: Elements of a block of a group: a task holds two blocks (8 bytes an element, and their index).
+BLOCK = 1 << 20
 #: Words whose hashes a worker keeps; emptied when full.
 CACHE = 250_000
+#: Elements or signatures that a worker holds before it hands them on.
+FLUSH = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_GOLD = 0x9E3779B97F4A7C15
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -73,7 +77,7 @@ class Shingles:
     def __init__(self, width: int) -> None:
         self.width = width
         self.words = _Words()
-        self.factors = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(width)]
+        self.factors = [np.uint64(pow(_GOLD, i + 1, 1 << 64)) for i in range(width)]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         """The distinct shingles of ``width`` words; with fewer words the whole sequence as one; none without words."""
@@ -93,171 +97,391 @@ class Shingles:
 
 @dataclass(frozen=True)
 class Scheme:
-    """Bands and bounds for similarity num / den."""
+    """Bands, bounds and signatures for similarity num / den."""
 
     num: int
     den: int
 
-    def bands(self, largest: int) -> list[tuple[int, int]]:
-        """(smallest, largest) size per band: the largest is the largest size that can be similar to the smallest."""
-        out, low = [], 1
-        while True:
-            high = low * self.den // self.num
-            out.append((low, high))
-            if high >= largest:
-                return out
-            low = high + 1
-
     def differ(self, a: int, b: int) -> int:
         """The most elements in which similar sets of these sizes differ."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
-    def sign(self, x: np.ndarray) -> tuple[np.ndarray, int, int, int]:
-        """Signatures of a sorted set, its band, and the spare signatures in its own and the next band (-1: fewer than d + 1).
+    def missing(self, size: int) -> int:
+        """The most elements of a set that a similar set may lack."""
+        return size * (self.den - self.num) // self.den
 
-        The low 8 bits of a signature name the band; 128 is added where each element is a range for want of ranges.
-        """
+    def shape(self, top: int) -> tuple[int, int, int]:
+        """n1, k2, n2 of the band whose largest size is ``top``: n1 first-level partitions, subsets of n2 - k2 of the n2 in each."""
+        k = self.differ(top, top)
+        return (1, k, k + 2) if k <= FEW else (k // 2 + 2, 1, 3)
+
+    def sign(self, x: np.ndarray) -> np.ndarray:
+        """The signatures of a sorted set for its own band and the next."""
         s = len(x)
         if not s:
-            return np.zeros(0, np.uint64), 0, 0, 0
-        known = _bands(self)
-        band = int(np.searchsorted(known[1], s))
-        out, spares = [], []
+            return np.zeros(0, np.uint64)
+        lows, tops = _bands(self)
+        band = int(np.searchsorted(tops, s))
+        most = s * self.den // self.num
+        out = []
         for t in (band, band + 1):
-            top = int(known[1][t])
-            if t > band and s * self.den // self.num < int(known[0][t]):
-                spares.append(0)
+            top = int(tops[t])
+            if t > band and most < int(lows[t]):
                 continue
-            d = self.differ(s, min(top, s * self.den // self.num))
-            spare = int(np.ceil(SPARE * top))
-            n = 0 if top < SMALL else int(top / FILL) + 1
-            sig, spare_left = _ranges(x, n, t, d, spare)
+            n1, k2, n2 = self.shape(top)
+            sig, sound = _subsets(x, t, n1, k2, n2)
             out.append(sig)
-            spares.append(spare_left)
-            if spare_left < 0:
-                out.append(_ranges(x, 0, t + 128, d, spare)[0])
-        return np.concatenate(out), band, *spares
-
-
-_BANDS: dict[Scheme, tuple[np.ndarray, np.ndarray]] = {}
+            if sound <= self.differ(s, min(top, most)) // (k2 + 1):
+                out.append(_scramble(x * _M2 + np.uint64(t + 1 << 32)))
+        return np.concatenate(out)
 
 
+@lru_cache(maxsize=16)
 def _bands(scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    if scheme not in _BANDS:
-        low, high = zip(*scheme.bands(1 << 31), strict=True)
-        _BANDS[scheme] = np.array(low), np.array(high)
-    return _BANDS[scheme]
-
-
-def _ranges(x: np.ndarray, n: int, tag: int, d: int, spare: int) -> tuple[np.ndarray, int]:
-    """The enumerated signatures of a sorted set with n ranges of the domain (0: each element is one), and how many of them are spare."""
-    if n:
-        where = ((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        held = np.diff(np.append(starts, len(x)))
-        content = np.add.reduceat(_scramble(x + np.uint64(tag)), starts) + where[starts]
-    else:
-        held, content = np.ones(len(x), np.int64), _scramble(x + np.uint64(tag))
-    sig = _scramble(content * _M2 + np.uint64(tag)) >> np.uint64(8)
-    most = d + 1 + spare
-    if len(sig) > most:
-        key = sig | ((np.uint64(255) - np.minimum(held, 255).astype(np.uint64)) << np.uint64(56))
-        sig = sig[np.argpartition(key, most - 1)[:most]]
-    return sig << np.uint64(8) | np.uint64(tag & 255), max(-1, len(sig) - d - 1)
+    """The smallest and the largest size of each band: the largest is the largest size that can be similar to the smallest."""
+    lows, tops = [1], []
+    while True:
+        tops.append(lows[-1] * scheme.den // scheme.num)
+        if tops[-1] >= 1 << 31:
+            return np.array(lows), np.array(tops)
+        lows.append(tops[-1] + 1)
+
+
+@lru_cache(maxsize=64)
+def _names(t: int, n1: int, k2: int, n2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each (first-level partition, subset) of a band, the subsets, and a factor for each second-level partition."""
+    subsets = np.array(list(combinations(range(n2), n2 - k2)))
+    at = np.arange(n1 * len(subsets), dtype=np.uint64).reshape(n1, -1)
+    return _scramble(at + np.uint64(t << 48)), subsets, np.array([pow(_GOLD, 2 * i + 1, 1 << 64) for i in range(n2)], np.uint64)
+
+
+def _subsets(x: np.ndarray, t: int, n1: int, k2: int, n2: int) -> tuple[np.ndarray, int]:
+    """A sorted set's signatures in band t, and in how many first-level partitions none of the subsets is without elements."""
+    names, subsets, factors = _names(t, n1, k2, n2)
+    n = n1 * n2
+    where = ((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    at = where[starts].astype(np.int64)
+    held = np.zeros(n, np.uint64)
+    held[at] = np.add.reduceat(x, starts)
+    full = np.zeros(n, bool)
+    full[at] = True
+    held, full = held.reshape(n1, n2) * factors, full.reshape(n1, n2)
+    sig = _scramble(held[:, subsets].sum(axis=2, dtype=np.uint64) * _M2 + names)
+    return sig[full[:, subsets].any(axis=2)], int((full.sum(axis=1) > k2).sum())
 
 
 def _binary(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def _signed(rows: DataFrame, width: int, scheme: Scheme, with_info: bool) -> DataFrame:
-    """sig, node, info of rows (_id, _text): one row per signature (info null), and if asked for one with sig 0 and info: size, band, spares."""
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists of 64-bit numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy()
+    return offsets - offsets[0], column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def missing(rows: DataFrame, width: int, share: float = 1.0) -> DataFrame:
+    """node, size and missing: how many elements of the set, in the first ``share`` of the domain, are in no other set; of rows (node, _text).
+
+    Elements that several sets of one batch have are told there and then: they leave a mark only, so that the rows of a very
+    common element are one per batch. The others meet sorted by element, where neighbours tell whether an element is alone.
+    """
+    last = np.uint64(min(share * 2.0**64, 2.0**64 - 1)) if share < 1 else None
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            sigs, nodes, infos, held = [], [], [], 0
-            ids = batch.column(0).to_pylist()
-            for k, (node, text) in enumerate(zip(ids, _binary(batch, 1), strict=True)):
+            ids, sizes, parts, held = [], [], [], 0
+            nodes = batch.column(0).to_pylist()
+            for k, (node, text) in enumerate(zip(nodes, _binary(batch, 1), strict=True)):
                 x = shingles(text)
-                sig, band, own, nxt = scheme.sign(x)
-                sigs.append(sig)
-                nodes.append(np.full(len(sig), node, np.int64))
-                infos.append((node, len(x), band, own, nxt))
-                held += len(sig)
-                if held >= 200_000 or k == len(ids) - 1:
-                    yield table(sigs, nodes, infos if with_info else [])
-                    sigs, nodes, infos, held = [], [], [], 0
-
-    def table(sigs: list, nodes: list, infos: list) -> pa.RecordBatch:
-        sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
-        info = [n << 31 | band << 24 | 0 for _, n, band, _, _ in infos]
-        spare = [(own + 1) << 31 | (nxt + 1) for _, _, _, own, nxt in infos]
-        size, of = len(sig), [i[0] for i in infos]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([sig, np.array(spare, np.int64)])),
-                pa.array(np.concatenate([node, np.array(of, np.int64)])),
-                pa.array([None] * size + info, pa.int64()) if infos else pa.nulls(size, pa.int64()),
-            ],
-            names=["sig", "node", "info"],
-        )
-
-    return rows.select("_id", "_text").mapInArrow(run, "sig bigint, node bigint, info bigint")
-
-
-def _elements(rows: DataFrame, width: int) -> DataFrame:
-    """sig, node of rows (_id, _text): one row per element."""
+                ids.append(node)
+                sizes.append(len(x))
+                parts.append(x if last is None else x[: np.searchsorted(x, last)])
+                held += len(parts[-1])
+                if held >= FLUSH or k == len(nodes) - 1:
+                    yield told(np.array(ids, np.int64), np.array(sizes, np.int64), parts)
+                    ids, sizes, parts, held = [], [], [], 0
+
+    def told(ids: np.ndarray, sizes: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(parts)
+        who = np.repeat(np.arange(len(ids)), [len(p) for p in parts])
+        order = np.argsort(e, kind="stable")
+        e, who = e[order], who[order]
+        same = e[1:] == e[:-1]
+        again = np.concatenate([[False], same])[: len(e)]
+        met = again | np.concatenate([same, [False]])[: len(e)]
+        marks, alone = e[met & ~again], ~met
+        left = np.bincount(who[alone], minlength=len(ids))
+        keys = np.concatenate([e[alone], marks, _scramble(ids.view(np.uint64) + np.uint64(_GOLD))])
+        node = np.concatenate([ids[who[alone]], np.zeros(len(marks), np.int64), ids])
+        info = np.concatenate([np.zeros(len(node) - len(marks) - len(ids), np.int64), np.full(len(marks), -1), (sizes + 1) << 31 | left])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node), pa.array(info)], names=["e", "node", "info"])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, before = [np.zeros(0, np.int64)] * 3, None  # the last row waits for the next
+        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            node, found, info = (np.concatenate(c) for c in zip(*got, strict=True))
+            u, at = np.unique(node, return_inverse=True)
+            most = np.zeros(len(u), np.int64)
+            np.maximum.at(most, at, info)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(at, weights=found, minlength=len(u)).astype(np.int64)), pa.array(most)], names=["node", "found", "info"])
+
+        for batch in [*batches_and_end(batches)]:
+            rows = waiting if batch is None else [np.concatenate([w, c.to_numpy()]) for w, c in zip(waiting, batch.columns, strict=True)]
+            n = len(rows[0])
+            if not n:
+                continue
+            e, node, info = rows
+            same = np.concatenate([[e[0] == before if before is not None else False], e[1:] == e[:-1]])
+            ready = n if batch is None else n - 1
+            common = (same | np.concatenate([same[1:], [False]]))[:ready]
+            keep = (info[:ready] > 0) | (common & (info[:ready] == 0))
+            got.append((node[:ready][keep], common[keep] & (info[:ready][keep] == 0), info[:ready][keep]))
+            held += len(got[-1][0])
+            before, waiting = (e[ready - 1] if ready else before), [c[ready:] for c in rows]
+            if held >= FLUSH:
+                yield counted()
+                got, held = [], 0
+        if held:
+            yield counted()
+
+    def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+        yield from batches
+        yield None
+
+    met = rows.select("node", "_text").mapInArrow(elements, "e bigint, node bigint, info bigint").repartition("e").sortWithinPartitions("e")
+    seen = met.mapInArrow(neighbours, "node bigint, found bigint, info bigint").groupBy("node").agg(F.sum("found").alias("found"), F.max("info").alias("info"))
+    left = F.greatest(F.col("info").bitwiseAND((1 << 31) - 1) - F.col("found"), F.lit(0))
+    return seen.select("node", (F.shiftright("info", 31) - 1).alias("size"), left.alias("missing"))
+
+
+def element_sets(rows: DataFrame, width: int) -> DataFrame:
+    """node, x (sorted element hashes) of rows (node, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), _binary(batch, 1), strict=True):
-                x = shingles(text).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node, np.int64))], names=["sig", "node"])
+            nodes, texts = batch.column(0), _binary(batch, 1)
+            for i in range(0, len(texts), 256):
+                parts = [shingles(t).view(np.int64) for t in texts[i : i + 256]]
+                x = pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, parts)]), np.concatenate(parts)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([nodes.slice(i, 256), x], names=["node", "x"])
 
-    return rows.select("_id", "_text").mapInArrow(run, "sig bigint, node bigint")
+    return rows.select("node", "_text").mapInArrow(run, "node bigint, x array<bigint>")
 
 
-def pick(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Rows whose key is (left_semi) or isn't (left_anti) among the ids: by broadcast if these are few, else by shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, on, how)
+def stars(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """pivot, node, n: the pivots of the signatures of each set (node, common, x), itself included, and how many signatures they share.
 
+    Signatures are dealt by themselves and sorted, the pivot first, and run through; a signature of very many sets is held by no task. A large
+    group of near copies shares its signatures, but these are hundreds.
+    """
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar."""
-    pairs = cut(pairs.select("a", "b").distinct())
-    if pairs.isEmpty():
-        return pairs
-    nodes = cut(pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct())
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, x = _lists(batch.column(2))
+            out: list[tuple[np.ndarray, int, int]] = []
+            held = 0
+            nodes, commons = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k, (node, common) in enumerate(zip(nodes, commons, strict=True)):
+                out.append((scheme.sign(x[offsets[k] : offsets[k + 1]]), node, common))
+                held += len(out[-1][0])
+                if held >= FLUSH or k == len(nodes) - 1:
+                    n = [len(s) for s, _, _ in out]
+                    data = [np.concatenate([s for s, _, _ in out]).view(np.int64), np.repeat(np.array([o[1] for o in out], np.int64), n), np.repeat(np.array([o[2] for o in out], np.int64), n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in data], names=["sig", "node", "common"])
+                    out, held = [], 0
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot, first_sent = None, 0, True
+        got: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            p, z = (np.concatenate(c) for c in zip(*got, strict=True))
+            order = np.lexsort((z, p))
+            p, z = p[order], z[order]
+            at = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (z[1:] != z[:-1])]))
+            return pa.RecordBatch.from_arrays([pa.array(p[at]), pa.array(z[at]), pa.array(np.diff(np.append(at, len(p))))], names=["pivot", "node", "n"])
+
+        for batch in batches:
+            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            new = np.concatenate([[last is None or sig[0] != last], sig[1:] != sig[:-1]])
+            starts = np.flatnonzero(new)
+            at = np.cumsum(new) - 1  # the run of each row; -1 goes on from the batch before
+            heads = np.append(node[starts], pivot)  # index -1 is the pivot from before
+            pivots = heads[at]
+            member = ~new
+            shared = np.zeros(len(starts), bool)
+            shared[at[member & (at >= 0)]] = True
+            p, z = [pivots[member], heads[:-1][shared]], [node[member], heads[:-1][shared]]
+            if not new[0] and not first_sent:
+                p.append(np.array([pivot])), z.append(np.array([pivot]))
+                first_sent = True
+            if len(starts):
+                first_sent = bool(shared[-1])
+                pivot = int(node[starts[-1]])
+            last = sig[-1]
+            got.append((np.concatenate(p), np.concatenate(z)))
+            held += len(got[-1][0])
+            if held >= FLUSH:
+                yield counted()
+                got, held = [], 0
+        if held:
+            yield counted()
+
+    signed = sets.select("node", "common", "x").mapInArrow(sign, "sig bigint, node bigint, common bigint")
+    dealt = signed.repartition("sig").sortWithinPartitions("sig", F.desc("common"), "node").select("sig", "node")
+    return dealt.mapInArrow(run, "pivot bigint, node bigint, n bigint").groupBy("pivot", "node").agg(F.sum("n").alias("n"))
+
+
+def _enough(x: np.ndarray, y: np.ndarray, scheme: Scheme) -> bool:
+    if not len(x) or not len(y):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return scheme.den * both >= scheme.num * (len(x) + len(y) - both)
+
+
+def verify_leads(leads: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """a, b: the pairs of (pivot, node) whose sets are similar. The rows of a pivot are spread over salts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, lead = None, np.zeros(0, np.uint64)
         for batch in batches:
-            ids, texts_ = batch.column(0), _binary(batch, 1)
-            for i in range(0, len(texts_), 256):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 256), pa.array([shingles(t).tobytes() for t in texts_[i : i + 256]], pa.binary())], names=["node", "x"])
+            offsets, x = _lists(batch.column(3))
+            a, b = [], []
+            for k, (p, member, node) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)):
+                own = x[offsets[k] : offsets[k + 1]]
+                if not member:
+                    pivot, lead = p, own.copy()
+                elif p == pivot and _enough(lead, own, scheme):
+                    a.append(p), b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    members = leads.select("pivot", salt(salts(leads), F.col("node")).alias("_s"), F.lit(True).alias("member"), "node")
+    firsts = members.select("pivot", "_s").distinct().select("pivot", "_s", F.lit(False).alias("member"), F.col("pivot").alias("node"))
+    dealt = members.union(firsts).join(sets.select("node", "x"), "node").repartition("pivot", "_s").sortWithinPartitions("pivot", "_s", "member", "node")
+    return dealt.select("pivot", "member", "node", "x").mapInArrow(run, "a bigint, b bigint")
+
+
+def joining_links(sizes: np.ndarray, commons: np.ndarray, blocks: np.ndarray, labels: np.ndarray, parts: list[np.ndarray], scheme: Scheme) -> list[tuple[int, int]]:
+    """Links (i, j) between sets of different labels such that all links between labels follow from them; of two blocks, or inside one.
+
+    Common elements are counted by an inverted index: one row of counts at a time, against all sets.
+    """
+    m = len(parts)
+    labels = np.unique(labels, return_inverse=True)[1]
+    e = np.concatenate(parts) if m else np.zeros(0, np.uint64)
+    who = np.repeat(np.arange(m), [len(p) for p in parts])
+    _, at = np.unique(e, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    index, ends = who[order], np.concatenate([[0], np.cumsum(np.bincount(at))])
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    two = blocks.min(initial=0) != blocks.max(initial=0)
+    rows = np.flatnonzero(blocks == blocks.min()) if two else np.flatnonzero(labels != np.bincount(labels).argmax()) if m else np.zeros(0, int)
+    found = []
+    for i in rows:
+        least = np.minimum(commons[i], commons)
+        other = (labels != labels[i]) & (scheme.den * least >= scheme.num * (sizes[i] + sizes - least))
+        if two:
+            other &= blocks != blocks[i]
+        if not other.any():
+            continue
+        own = at[bounds[i] : bounds[i + 1]]
+        first, n = ends[own], ends[own + 1] - ends[own]
+        take = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(index[take], minlength=m)
+        for j in np.flatnonzero(other & (scheme.den * both >= scheme.num * (sizes[i] + sizes - both))):
+            if labels[i] != labels[j]:
+                found.append((int(i), int(j)))
+                labels[labels == labels[j]] = labels[i]
+    return found
+
+
+def verify_groups(rows: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """a, b: links between components inside groups, of rows (pivot, node, size, common, component, tried); tried: compared with the pivot before.
+
+    Blocks 0 to small - 1 of a group hold its small components; each component of more than BLOCK elements has blocks of its own.
+    """
+    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+    draw = lambda k: F.pmod(F.xxhash64(F.lit("block"), "node"), F.greatest(k, F.lit(1))).cast("int")
+    rows = cut(rows.withColumn("_s", salt(salts(rows), F.col("node"))))
+    weights = rows.groupBy("pivot", "component").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("m"), F.min("tried").alias("tried"))
+    large = F.col("w") > BLOCK
+    plan = weights.groupBy("pivot").agg(
+        F.greatest(F.lit(1), blocks(F.coalesce(F.sum(F.when(~large, F.col("w"))), F.lit(0)))).alias("small"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("component", blocks(F.col("w")).alias("k"))))).alias("large"),
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("m").alias("m"),
+        F.min("tried").alias("tried"),
+    )
+    plan = plan.where((F.col("parts") > 1) & ((F.col("m") > 2) | ~F.col("tried"))).select("pivot", "small", "large")
+    start = F.struct(F.col("small").alias("end"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("k"))
+
+    def place(s: Column, x: Column) -> Column:
+        own = x["component"] == F.col("component")
+        return F.struct((s["end"] + x["k"]).alias("end"), F.when(own, s["end"]).otherwise(s["first"]).alias("first"), F.when(own, x["k"]).otherwise(s["k"]).alias("k"))
+
+    placed = rows.join(spread(rows, plan, ["pivot"]), ["pivot", "_s"]).withColumn("at", F.aggregate("large", start, place))
+    first, k = F.col("at.first"), F.col("at.k")
+    placed = placed.withColumn("own", F.coalesce(first + draw(k), draw(F.col("small"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("at.end") - 1), lambda b: first.isNull() | (b < first) | (b >= first + k))
+    placed = placed.withColumn("other", F.explode(others)).select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "common")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                if not len(x) or not len(y):
-                    continue
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if scheme.den * both >= scheme.num * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-    found = pick(texts.select("_id", "_text"), nodes, ["_id"], "left_semi").mapInArrow(sets, "node bigint, x binary")
-    left = pairs.join(found.select(F.col("node").alias("a"), F.col("x")), "a")
-    both = left.join(found.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct())
+            offsets, x = _lists(batch.column(7))
+            for k, (*now, own, node, component, common) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True)):
+                if now != key:
+                    yield links(group)
+                    key, group = now, []
+                group.append((own, node, component, common, x[offsets[k] : offsets[k + 1]].copy()))
+        yield links(group)
+
+    def links(group: list[tuple]) -> pa.RecordBatch:
+        found: list[tuple[int, int]] = []
+        if len(group) > 1:
+            own, node, component, common, parts = zip(*group, strict=True)
+            sizes = np.array([len(p) for p in parts])
+            found = [(node[i], node[j]) for i, j in joining_links(sizes, np.array(common), np.array(own), np.array(component), list(parts), scheme)]
+        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    dealt = placed.join(sets.select("node", "x"), "node").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "own", "node")
+    return dealt.select("pivot", "low", "high", "own", "node", "component", "common", "x").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar(texts: DataFrame, width: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(node, size) of all rows (node, _text), and the links (a, b) that make the components of similar sets."""
+    share = min(1.0, LOOK * (scheme.den - scheme.num) / scheme.den)
+    may = F.col("missing") <= F.floor(F.col("size") * F.lit(scheme.den - scheme.num) / F.lit(scheme.den))
+    sizes = cut(missing(texts, width, share))
+    left = sizes.where(may & (F.col("size") > 0))
+    if share < 1.0:
+        left = missing(pick(texts, left.select("node"), ["node"], "left_semi"), width).where(may)
+    known = cut(left.select("node", "size", (F.col("size") - F.col("missing")).alias("common")))
+    sets = element_sets(pick(texts, known.select("node"), ["node"], "left_semi"), width)
+    sets = cut(attach(sets, known.select("node", "common"), "node"))
+    star = cut(stars(sets, scheme))
+    lead = star.where(F.col("pivot") != F.col("node")).groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("lead"))
+    lead = cut(lead)
+    links = cut(verify_leads(lead.select(F.col("lead").alias("pivot"), "node"), sets, scheme).distinct())
+    so_far = cut(components(links))
+    rows = star.select("pivot", "node").join(known, "node").join(lead, "node", "left").join(so_far, "node", "left")
+    tried = (F.col("pivot") == F.col("node")) | F.col("pivot").eqNullSafe(F.col("lead"))
+    rows = rows.select("pivot", "node", "size", "common", F.coalesce("component", "node").alias("component"), tried.alias("tried"))
+    more = cut(verify_groups(rows, sets, scheme).distinct())
+    return sizes.select("node", "size"), links.union(more)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,112 +490,49 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     component_id is the smallest id reachable by links, itself included; n_copies counts the rows with an equal text
     (A-Z lower-cased). Null, empty and blank texts have an empty set and are linked with nothing, not even each other.
     Rows with a null id are linked with nothing and have a null component. Rows that share an id count as one document that
-    has the links of each. Tables may be empty; extra columns are ignored.
+    has the links of each of them. Ids must be of an integer type (others raise TypeError). Tables may be empty; extra columns are
+    ignored.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be of an integer type")
     scheme = Scheme(num, den)
-    slim = hidden(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    slim = hidden(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     lowered = ascii_lower(F.col("_text"))
-    keys = [F.xxhash64(F.lit(1), lowered).alias("_h1"), F.xxhash64(F.lit(2), lowered).alias("_h2")]
-    blank = F.length(F.btrim(F.coalesce("_text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
-    base = cut(slim.select("_id", *keys, salt(F.col("_id")).alias("_s"), blank.alias("_blank")))
-    groups = base.groupBy("_h1", "_h2", "_s", "_blank").agg(F.min("_id").alias("m"), F.count(F.lit(1)).alias("n")).groupBy("_h1", "_h2", "_blank").agg(F.min("m").alias("_node"), F.sum("n").alias("n_copies"), used_salts(F.col("_s")).alias("_mask"))
-    groups = cut(groups)
-    joined = base.join(per_salt(groups.drop("_blank"), "_mask", "_s"), ["_h1", "_h2", "_s"])
-    copies = cut(joined.where(F.col("_id") != F.col("_node")).select("_id", "_h1", "_blank", "_node"))
-    texts = pick(slim.where(F.col("_id").isNotNull() & ~blank).withColumn("_h1", keys[0]), copies.where(~F.col("_blank")).select("_id", "_h1"), ["_id", "_h1"], "left_anti").select("_id", "_text")
-
-    # who meets anyone at as many signatures as similar sets must share
-    signed = _signed(texts, width, scheme, with_info=True)
-    info = F.col("info").isNotNull()
-    met = signed.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("sig", F.when(info, F.col("node"))))).where(info | (F.col("g") > 1))
-    met = met.select("node", F.when(info, F.col("sig")).otherwise(F.col("sig").bitwiseAND(255)).alias("what"), "info")
-    met = cut(met.groupBy("node", "what", "info").agg(F.count(F.lit(1)).alias("n")))
-    facts = met.where(info).groupBy("node").agg(F.max(F.shiftright("info", 31)).alias("size"), F.max(F.shiftright("info", 24).bitwiseAND(127)).alias("band"), F.min(F.shiftright("what", 31) - 1).alias("own"), F.min(F.col("what").bitwiseAND(0x7FFFFFFF) - 1).alias("next"))
-    facts = cut(facts)
-    spare = F.when(F.col("tag") == F.col("band"), F.col("own")).when(F.col("tag") == F.col("band") + 1, F.col("next")).otherwise(-1)
-    counts = met.where(~info).select("node", F.col("what").alias("tag"), "n").join(facts, "node")
-    alive = cut(counts.where(F.col("n") >= F.greatest(F.lit(1), spare + 1)).select(F.col("node").alias("_id")).distinct())
-    texts = cut(pick(slim.where(F.col("_id").isNotNull() & ~blank), alive, ["_id"], "left_semi").select("_id", "_text"))
-
-    # of those, who has enough elements that any other of them has
-    bucket = Window.partitionBy("sig")
-    for _ in range(ROUNDS):
-        shared = _elements(texts, width).withColumn("g", F.count(F.lit(1)).over(bucket)).where("g > 1").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-        shared = shared.join(facts, "node").where(den * F.col("common") >= num * F.col("size"))
-        shared = cut(shared.select("node", "size", "band", "own", "next", F.least("common", "size").alias("common")))
-        texts = pick(texts, shared.select(F.col("node").alias("_id")), ["_id"], "left_semi").select("_id", "_text")
-    known = shared.select("node", "size", "common")
-
-    met = _signed(texts, width, scheme, with_info=False).select("sig", "node").withColumn("g", F.count(F.lit(1)).over(bucket)).withColumn("pivot", F.min("node").over(bucket))
-    common = F.col("g") > COMMON
-    met = met.where((F.col("g") > 1) & ((F.col("pivot") != F.col("node")) | common))
-    met = met.select(F.when(common, 1).otherwise(0).alias("kind"), F.when(common, F.col("sig")).otherwise(F.col("pivot")).alias("a"), F.col("node").alias("b"))
-    table = cut(met.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n")))
-
-    rows = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("a").bitwiseAND(255).alias("tag"))
-    full = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).join(facts, "node").where(F.col("n") > spare).select("node", "tag")
-    heavy = cut(rows.join(full, ["node", "tag"]).select("sig", "node"))
-    in_sig = Window.partitionBy("sig")
-    stars = heavy.withColumn("a", F.min("node").over(in_sig)).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("n"))
-    stars = table.where("kind = 0").select("a", "b", "n").union(stars).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    stars = stars.join(known.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("common").alias("common_a")), "a").join(known.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("common").alias("common_b")), "b")
-    can = _possible(F.col("size_a"), F.col("size_b"), F.col("common_a"), F.col("common_b"), num, den)
-    stars = cut(stars.select("a", "b", "n", can.alias("can")))
-
-    likely = stars.where("can").groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    links = _verified(likely, texts, width, scheme)
-    so_far = cut(components(links))
-    apart = cut(_apart(stars, so_far))
-    if not apart.isEmpty():
-        tried = likely.select("a", "b")
-        more = _verified(apart.where("can").join(tried, ["a", "b"], "left_anti"), texts, width, scheme)
-        if not more.isEmpty():
-            links = cut(links.union(more))
-            so_far = cut(components(links))
-            apart = cut(_apart(stars, so_far))
-        several = stars.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
-        failed = cut(apart.select("a").distinct().join(several, "a", "left_semi"))
-        if not failed.isEmpty():
-            around = stars.join(failed, "a", "left_semi")
-            around = cut(around.select(F.col("a").alias("_id")).union(around.select(F.col("b").alias("_id"))).distinct())
-            # any similar pair among these shares one of the rarest elements of either, of which each needs to look at few
-            per_node = Window.partitionBy("node")
-            again = _elements(pick(texts, around, ["_id"], "left_semi"), width).withColumn("g", F.count(F.lit(1)).over(in_sig)).where("g > 1")
-            again = again.join(known.select("node", "size"), "node").withColumn("common", F.count(F.lit(1)).over(per_node)).withColumn("at", F.row_number().over(per_node.orderBy("g", "sig")))
-            again = again.where(den * (F.col("common") - F.col("at") + 1) >= num * F.col("size"))
-            labelled = again.join(so_far, "node", "left").select("sig", "node", "size", "common", F.coalesce("component", "node").alias("c"))
-            mixed = cut(labelled.withColumn("low", F.min("c").over(in_sig)).withColumn("high", F.max("c").over(in_sig)).where("low < high").drop("low", "high"))
-            x, y = mixed.alias("x"), mixed.alias("y")
-            cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & _possible(F.col("x.size"), F.col("y.size"), F.col("x.common"), F.col("y.common"), num, den))
-            cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-            last = _verified(cross, texts, width, scheme)
-            if not last.isEmpty():
-                links = cut(links.union(last))
-                so_far = cut(components(links))
-    # a document that shares its id with rows of other texts has the links of each
-    same = copies.where(~F.col("_blank")).select(F.col("_id").alias("a"), F.col("_node").alias("b"))
-    twice = base.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.countDistinct("_h1", "_h2").alias("k")).where("k > 1").select("_id")
-    if not twice.isEmpty():
-        so_far = cut(components(links.union(same)))
-        by_id = base.join(so_far.withColumnRenamed("node", "_id"), "_id", "left").select("_id", "_h1", "_h2", "_s", F.coalesce("component", "_id").alias("component_id"))
-        sized = groups.join(facts.select(F.col("node").alias("_node"), "size"), "_node", "left").select("_h1", "_h2", "_mask", "n_copies", F.when(F.col("_blank"), 0).otherwise(F.coalesce("size", F.lit(0))).alias("n_shingles"))
-        out = by_id.join(per_salt(sized, "_mask", "_s"), ["_h1", "_h2", "_s"])
-        return out.select(F.col("_id").alias(id_col), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "n_copies")
-    known = groups.join(facts.select(F.col("node").alias("_node"), "size"), "_node", "left").join(so_far.withColumnRenamed("node", "_node"), "_node", "left")
-    known = known.select("_h1", "_h2", "_mask", "_blank", F.coalesce("component", "_node").alias("component"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), "n_copies")
-    out = base.drop("_blank").join(per_salt(known, "_mask", "_s"), ["_h1", "_h2", "_s"])
-    component = F.when(F.col("_id").isNotNull(), F.when(F.col("_blank"), F.col("_id")).otherwise(F.col("component")))
-    return out.select(F.col("_id").alias(id_col), F.when(F.col("_blank"), 0).otherwise(F.col("size")).cast("long").alias("n_shingles"), component.alias("component_id"), "n_copies")
-
-
-def _possible(size_a: Column, size_b: Column, common_a: Column, common_b: Column, num: int, den: int) -> Column:
-    """Whether sets of these sizes, of which so many elements are found in any other set, can be similar: they can't share more than that."""
-    most = F.least(common_a, common_b)
-    return den * most >= num * (size_a + size_b - most)
-
-
-def _apart(stars: DataFrame, so_far: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    left = stars.join(so_far.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    both = left.join(so_far.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "n", "can")
+    blank = F.length(F.btrim(F.coalesce("_text", F.lit("")), F.lit(BLANKS))) == 0
+    slim = slim.withColumn("_h1", F.xxhash64(F.lit(1), lowered)).withColumn("_h2", F.xxhash64(F.lit(2), lowered))
+    base = cut(slim.select("_id", "_h1", "_h2", salt(salts(docs), F.col("_id")).alias("_s"), blank.alias("_blank")))
+    # an id with several texts has a node for each of them, any other is its own node
+    several = cut(base.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.min(F.struct("_h1", "_h2")).alias("x"), F.max(F.struct("_h1", "_h2")).alias("y")).where("x != y").select("_id"))
+    mixed = not several.isEmpty()
+
+    def with_node(rows: DataFrame) -> DataFrame:
+        if not mixed:
+            return rows.withColumn("node", F.col("_id"))
+        marked = attach(rows, several.withColumn("_several", F.lit(True)), "_id")
+        return marked.withColumn("node", F.when(F.col("_several"), F.xxhash64(F.lit("node"), "_id", "_h1", "_h2")).otherwise(F.col("_id"))).drop("_several")
+
+    per = with_node(base).groupBy("_h1", "_h2", "_blank", "_s").agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "node"))).alias("m"), F.count(F.lit(1)).alias("n"))
+    of_text = Window.partitionBy("_h1", "_h2")
+    groups = per.select("_h1", "_h2", "_s", "_blank", F.min("m").over(of_text).alias("m"), F.sum("n").over(of_text).alias("n_copies"))
+    groups = cut(groups.select("_h1", "_h2", "_s", "_blank", F.col("m._id").alias("first_id"), F.col("m.node").alias("node"), "n_copies"))
+    rows = cut(base.drop("_blank").join(groups, ["_h1", "_h2", "_s"]).select("_id", "_h1", "_h2", "_s", "_blank", "node", "first_id", "n_copies"))
+    copies = with_node(rows.withColumnRenamed("node", "first")).where(~F.col("_blank") & (F.col("node") != F.col("first"))).select("node")
+    texts = pick(with_node(slim.where(F.col("_id").isNotNull() & ~blank)).select("node", "_text"), cut(copies.distinct()), ["node"], "left_anti")
+
+    sizes, links = similar(texts, width, scheme)
+    if mixed:
+        ends = rows.where(F.col("_id").isNotNull() & ~F.col("_blank")).join(several, "_id", "left_semi").select("_id", "node").distinct()
+        links = links.union(ends.withColumn("hub", F.min("node").over(Window.partitionBy("_id"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    found = components(links)
+    if mixed:  # a component's name is its smallest id, not its smallest node
+        firsts = found.join(groups.select("node", "first_id").distinct(), "node")
+        found = with_least(firsts, "component", "first_id", "least").select("node", F.col("least").alias("component"))
+    known = sizes.join(found, "node", "left")
+    known = groups.select("_h1", "_h2", "_s", "node", "first_id").join(known, "node", "left").select("_h1", "_h2", "_s", "size", F.coalesce("component", "first_id").alias("component"))
+    out = rows.join(known, ["_h1", "_h2", "_s"])
+    component = F.when(F.col("_id").isNull(), None).when(F.col("_blank"), F.col("_id")).otherwise(F.col("component"))
+    n_shingles = F.when(F.col("_blank"), 0).otherwise(F.coalesce("size", F.lit(0))).cast("long")
+    if mixed:  # all rows of an id are in one component
+        out = out.select("_id", n_shingles.alias("n"), component.alias("c"), "n_copies")
+        return out.withColumn("c", F.when(F.col("_id").isNotNull(), F.min("c").over(Window.partitionBy("_id")))).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "n_copies")
+    return out.select(F.col("_id").alias(id_col), n_shingles.alias("n_shingles"), component.alias("component_id"), "n_copies")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import cut, per_salt, row_key, salt, used_salts
+from pitchlake.llm.common import cut, row_key, salt, salts
 
 #: Ranges of the random number, at most so many rows per source in the running sums.
 BUCKETS = 16384
@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat
     total = F.sum("source_size").over(every).cast("double") * F.lit(float(share))
     t = t.withColumn("_level", (total - before) / rest).withColumn("_full", F.col("_cap") <= F.col("_w") * F.col("_level"))
     level = F.max(F.when(~F.col("_full"), F.col("_level"))).over(every)
-    return t.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * level)).select("source", "source_size", "target", "_mask")
+    return t.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * level)).select("source", "source_size", "target")
 
 
 def mix_sources(
@@ -82,34 +82,36 @@ def mix_sources(
         ((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)).alias("_u"),
         *row_key(doc_id, text),
     )
-    rows = rows.withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int")).withColumn("_s", salt(F.col("_k1")))
+    rows = rows.withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int")).withColumn("_s", salt(salts(docs), F.col("_k1")))
     slim = ["_source", "_id", "size", "_u", "_k1", "_k2", "_b", "_s"]
     if keep_columns:
         counted = rows.select(*slim)
     else:
         rows = counted = cut(rows)
-    ranges = cut(counted.groupBy("_source", "_b").agg(F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_n"), used_salts(F.col("_s")).alias("_mask")))
-    sizes = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"), F.bit_or("_mask").alias("_mask"))
+    ranges = cut(counted.groupBy("_source", "_b").agg(F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_n")))
+    sizes = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
     goal = targets(sizes, weights, share, max_repeat)
     goal = goal.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     order = Window.partitionBy("_source").orderBy("_b")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    run = ranges.drop("_mask").withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    run = ranges.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     run = run.join(goal, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
     first = F.min(F.when(F.col("_before") + F.col("_words") > F.col("_rest"), F.struct("_b", "_before", "_at"))).over(Window.partitionBy("_source"))
     run = run.withColumn("_first", first)
     facts = ["source_size", "target", "_whole", "_rest"]
     plan = run.groupBy(F.col("_source").alias("_of")).agg(
-        *[F.first(c).alias(c) for c in [*facts, "_mask"]],
+        *[F.first(c).alias(c) for c in facts],
         F.first("_first._b").alias("_from"),
         F.first("_first._before").alias("_filled"),
         F.max(F.when((F.col("_b") >= F.col("_first._b")) & (F.col("_at") < F.col("_first._at") + ZONE), F.col("_b"))).alias("_to"),
     )
     plan = cut(plan)
     if plan.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(plan.drop("_mask")), F.col("_source").eqNullSafe(F.col("_of")), "left")
+        joined = rows.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_of")), "left")
     else:
-        joined = rows.join(per_salt(plan, "_mask", "_t"), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_s") == F.col("_t")), "left").drop("_t")
+        used = rows.select(F.col("_source").alias("_src"), F.col("_s").alias("_t")).distinct()
+        plan = used.join(plan, F.col("_src").eqNullSafe(F.col("_of"))).drop("_src")
+        joined = rows.join(plan, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_s") == F.col("_t")), "left").drop("_t")
     p = F.col("_rest") / F.col("source_size")
     odds = F.when(F.col("_rest") > 0, (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p))).otherwise(F.col("_u"))
     joined = joined.withColumn("_zone", F.coalesce(F.col("_b").between(F.col("_from"), F.col("_to")), F.lit(False)))

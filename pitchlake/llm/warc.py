@@ -19,10 +19,10 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import cut, hidden, per_salt, salt, shared_dir, used_salts
+from pitchlake.llm.common import cut, hidden, salt, salts, shared_dir
 
 #: Magic number of the skippable frame for dictionaries, and of dictionaries themselves. Fixed values.
 SKIPPABLE = 0x184D2A5D
@@ -122,9 +122,10 @@ def records_of(data: bytes) -> Iterator[bytes]:
 def with_referents(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """_page, _url, _html (never null), _keep (the id of the response of its group) and _revisit for each page."""
     base = hidden(pages, [id_col, url_col, html_col]).select(F.col(f"`{id_col}`").alias("_page"), F.col(f"`{url_col}`").alias("_url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("_html"))
-    base = base.withColumn("_h", F.sha2("_html", 256)).withColumn("_s", salt(F.col("_page"), F.col("_url")))
-    groups = base.groupBy("_h", "_s").agg(F.max("_page").alias("_m")).groupBy("_h").agg(F.max("_m").alias("_keep"), used_salts(F.col("_s")).alias("_mask"))
-    joined = base.join(per_salt(groups, "_mask", "_s"), ["_h", "_s"])
+    base = base.withColumn("_h", F.sha2("_html", 256)).withColumn("_s", salt(salts(pages), F.col("_page"), F.col("_url")))
+    groups = base.groupBy("_h", "_s").agg(F.max("_page").alias("_m"))
+    groups = groups.select("_h", "_s", F.max("_m").over(Window.partitionBy("_h")).alias("_keep"))
+    joined = base.join(groups, ["_h", "_s"])
     revisit = ~F.col("_page").eqNullSafe(F.col("_keep")) & (F.octet_length("_html") >= min_bytes)
     return joined.select("_page", "_url", "_html", "_keep", revisit.alias("_revisit"))
 

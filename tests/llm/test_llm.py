@@ -108,9 +108,11 @@ def brute_components(rows):
     return {i: find(i) for i, _ in sets}
 
 
-@pytest.mark.parametrize("common", [1, 32])
-def test_jaccard_by_brute_force(spark, monkeypatch, common):
-    monkeypatch.setattr(jaccard_join, "COMMON", common)
+@pytest.mark.parametrize(("block", "flush"), [(1 << 20, 1 << 20), (400, 500)])
+def test_jaccard_by_brute_force(spark, monkeypatch, block, flush):
+    """Copies, near copies, a cloud about the threshold, and a passage that many share; blocks and buffers small and large."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "FLUSH", flush)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)]
     bases = [[rng.choice(vocabulary) for _ in range(n)] for n in (3, 6, 9, 30, 60, 120, 300)]
@@ -121,12 +123,53 @@ def test_jaccard_by_brute_force(spark, monkeypatch, common):
         for _ in range(rng.choice([0, 0, 1, 2, 3, len(w) // 20])):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         rows.append((i, (" " if rng.random() < 0.8 else "\t").join(w)))
+    for i in range(90, 160):
+        w = list(bases[5])
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(8)}"
+        rows.append((i, " ".join(w)))
     got = {r.doc_id: r for r in jaccard_join.jaccard_components(table(spark, rows)).collect()}
     expected = brute_components(rows)
     assert {i: r.component_id for i, r in got.items()} == expected
+    assert len(set(expected.values())) < 100 and len({expected[i] for i in range(90, 160)}) > 3
     assert all(got[i].n_shingles == len(shingle_set(t)) for i, t in rows)
 
 
+def test_jaccard_on_documents(spark):
+    """All 1,000 documents of sf0.01 against brute force: no link is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {i: shingle_set(t) for i, t in rows}
+    meet = {}
+    for i, x in sets.items():
+        for e in x:
+            meet.setdefault(e, []).append(i)
+    pairs = {(a, b) for v in meet.values() for k, a in enumerate(v) for b in v[k + 1 :]}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: (find(i), len(sets[i])) for i in sets}
+
+
+def test_jaccard_shared_ids(spark):
+    """Rows that share an id have the links of each of their texts; the long one doesn't hide the short one's."""
+    words = [f"w{i}" for i in range(1200)]
+    rows = [(5, " ".join(words[:14])), (5, " ".join(words[100:1100])), (7, " ".join(words[:14]) + " z"), (9, " ".join(words[100:1098])), (8, " ".join(words[:14])), (3, "alone here"), (5, None), (None, " ".join(words[:14]))]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles, r.n_copies) for r in jaccard_join.jaccard_components(table(spark, rows)).collect())
+    assert got == [(0, 0, 10, 3), (3, 3, 1, 1), (5, 5, 0, 1), (5, 5, 10, 3), (5, 5, 996, 1), (7, 5, 11, 1), (8, 5, 10, 3), (9, 5, 994, 1)]
+    with pytest.raises(TypeError):
+        jaccard_join.jaccard_components(table(spark, rows).withColumn("doc_id", F.lit("x")))
+
+
 def test_jaccard_odd(spark, odd, empty):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == len(ODD)
@@ -139,17 +182,19 @@ def test_jaccard_odd(spark, odd, empty):
 
 
 def test_signatures_meet():
-    """Similar sets share at least one signature, more than are spare."""
+    """Similar sets share at least one signature, whatever their sizes."""
     rng = np.random.default_rng(3)
-    scheme = jaccard_join.Scheme(3, 4)
-    for _ in range(300):
-        n = int(rng.integers(1, 400))
+    scheme, tried = jaccard_join.Scheme(3, 4), 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400)) if rng.random() < 0.3 else int(rng.integers(1, 40))
         x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        keep = x[rng.permutation(len(x))[: max(1, int(np.ceil(len(x) * rng.uniform(0.8, 1))))]]
+        keep = x[rng.permutation(len(x))[: max(1, int(np.ceil(len(x) * rng.uniform(0.75, 1))))]]
         y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, len(x) // 8 + 1))).astype(np.uint64)]))
         both = len(np.intersect1d(x, y))
         if 4 * both >= 3 * (len(x) + len(y) - both):
-            assert len(np.intersect1d(scheme.sign(x)[0], scheme.sign(y)[0])) > 0
+            tried += 1
+            assert len(np.intersect1d(scheme.sign(x), scheme.sign(y))) > 0
+    assert tried > 1000
 
 
 def test_components(spark):
