@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.llm.common import shared_dir
-from pitchlake.llm.jaccard_join import jaccard_components, pick
+from pitchlake.llm.common import pick
+from pitchlake.llm.jaccard_join import jaccard_components
 from pitchlake.llm.langid import identify_languages
 from pitchlake.llm.line_dedup import line_dedup
 from pitchlake.llm.mixing import mix_sources
