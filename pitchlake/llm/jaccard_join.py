@@ -16,12 +16,13 @@ Steps.
 * ``missing``: a set of which more than (den - num) / den of the elements are in no other set has no partner. A first pass looks
   at a fixed share of the element domain only (that many missing there are enough to tell), a second one, for the sets that are left, at
   all elements. This only spares signatures; no link comes from it.
-* ``stars``: of the sets with a signature the one with most elements in common with others is its pivot. All pairs of sets that
-  share a signature are in one group, that of its pivot, so (pivot, member) rows say all; pairs are never emitted.
-* ``verify_leads``: each set is compared with the pivot with which it shares most signatures. These links give first components.
-* ``verify_groups``: in groups with more than one component the pairs between components are compared, inside a task, and only links
-  that join two components come out. A group is cut into blocks of BLOCK elements, and a task holds two blocks; blocks of one
-  component aren't compared with each other.
+* ``leads``, ``verify_leads``: at the signatures of a few first-level partitions each set finds a set to be compared with. These
+  links give first components; they only spare work.
+* ``mixed_groups``: all sets that share a signature are in one group, that of its smallest node, so (pivot, member) rows say all, and
+  pairs are never emitted. A signature whose sets are of one component needs none.
+* ``verify_groups``: the pairs between components of a group are compared, inside a task, and only links that join two components
+  come out. A group is cut into blocks of BLOCK elements, and a task holds two blocks; blocks of one component aren't compared
+  with each other.
 
 Every comparison is exact: it counts the common 64-bit element hashes of whole sets.
 """
@@ -47,6 +48,8 @@ FEW = 5
 LOOK = 1.6
 #: Elements of a block of a group: a task holds two blocks (8 bytes an element, and their index).
 BLOCK = 1 << 20
+#: First-level partitions of a band whose signatures look for a lead.
+LEADS = 6
 #: Words whose hashes a worker keeps; emptied when full.
 CACHE = 250_000
 #: Elements or signatures that a worker holds before it hands them on.
@@ -115,8 +118,8 @@ class Scheme:
         k = self.differ(top, top)
         return (1, k, k + 2) if k <= FEW else (k // 2 + 2, 1, 3)
 
-    def sign(self, x: np.ndarray) -> np.ndarray:
-        """The signatures of a sorted set for its own band and the next."""
+    def sign(self, x: np.ndarray, few: int | None = None) -> np.ndarray:
+        """The signatures of a sorted set for its own band and the next; with ``few`` only those of so many first-level partitions."""
         s = len(x)
         if not s:
             return np.zeros(0, np.uint64)
@@ -129,9 +132,9 @@ class Scheme:
             if t > band and most < int(lows[t]):
                 continue
             n1, k2, n2 = self.shape(top)
-            sig, sound = _subsets(x, t, n1, k2, n2)
+            sig, sound = _subsets(x, t, n1, k2, n2, few)
             out.append(sig)
-            if sound <= self.differ(s, min(top, most)) // (k2 + 1):
+            if few is None and sound <= self.differ(s, min(top, most)) // (k2 + 1):
                 out.append(_scramble(x * _M2 + np.uint64(t + 1 << 32)))
         return np.concatenate(out)
 
@@ -155,7 +158,7 @@ def _names(t: int, n1: int, k2: int, n2: int) -> tuple[np.ndarray, np.ndarray, n
     return _scramble(at + np.uint64(t << 48)), subsets, np.array([pow(_GOLD, 2 * i + 1, 1 << 64) for i in range(n2)], np.uint64)
 
 
-def _subsets(x: np.ndarray, t: int, n1: int, k2: int, n2: int) -> tuple[np.ndarray, int]:
+def _subsets(x: np.ndarray, t: int, n1: int, k2: int, n2: int, few: int | None = None) -> tuple[np.ndarray, int]:
     """A sorted set's signatures in band t, and in how many first-level partitions none of the subsets is without elements."""
     names, subsets, factors = _names(t, n1, k2, n2)
     n = n1 * n2
@@ -166,7 +169,7 @@ def _subsets(x: np.ndarray, t: int, n1: int, k2: int, n2: int) -> tuple[np.ndarr
     held[at] = np.add.reduceat(x, starts)
     full = np.zeros(n, bool)
     full[at] = True
-    held, full = held.reshape(n1, n2) * factors, full.reshape(n1, n2)
+    held, full, names = held.reshape(n1, n2)[:few] * factors, full.reshape(n1, n2)[:few], names[:few]
     sig = _scramble(held[:, subsets].sum(axis=2, dtype=np.uint64) * _M2 + names)
     return sig[full[:, subsets].any(axis=2)], int((full.sum(axis=1) > k2).sum())
 
@@ -222,34 +225,17 @@ def missing(rows: DataFrame, width: int, share: float = 1.0) -> DataFrame:
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, before = [np.zeros(0, np.int64)] * 3, None  # the last row waits for the next
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def counted() -> pa.RecordBatch:
-            node, found, info = (np.concatenate(c) for c in zip(*got, strict=True))
-            u, at = np.unique(node, return_inverse=True)
-            most = np.zeros(len(u), np.int64)
-            np.maximum.at(most, at, info)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(at, weights=found, minlength=len(u)).astype(np.int64)), pa.array(most)], names=["node", "found", "info"])
-
-        for batch in [*batches_and_end(batches)]:
+        for batch in batches_and_end(batches):
             rows = waiting if batch is None else [np.concatenate([w, c.to_numpy()]) for w, c in zip(waiting, batch.columns, strict=True)]
-            n = len(rows[0])
-            if not n:
+            if not len(rows[0]):
                 continue
             e, node, info = rows
-            same = np.concatenate([[e[0] == before if before is not None else False], e[1:] == e[:-1]])
-            ready = n if batch is None else n - 1
+            same = np.concatenate([[before is not None and e[0] == before], e[1:] == e[:-1]])
+            ready = len(e) if batch is None else len(e) - 1
             common = (same | np.concatenate([same[1:], [False]]))[:ready]
             keep = (info[:ready] > 0) | (common & (info[:ready] == 0))
-            got.append((node[:ready][keep], common[keep] & (info[:ready][keep] == 0), info[:ready][keep]))
-            held += len(got[-1][0])
+            yield pa.RecordBatch.from_arrays([pa.array(node[:ready][keep]), pa.array((info[:ready][keep] == 0).astype(np.int64)), pa.array(info[:ready][keep])], names=["node", "found", "info"])
             before, waiting = (e[ready - 1] if ready else before), [c[ready:] for c in rows]
-            if held >= FLUSH:
-                yield counted()
-                got, held = [], 0
-        if held:
-            yield counted()
 
     def batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
         yield from batches
@@ -276,71 +262,43 @@ def element_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("node", "_text").mapInArrow(run, "node bigint, x array<bigint>")
 
 
-def stars(sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """pivot, node, n: the pivots of the signatures of each set (node, common, x), itself included, and how many signatures they share.
-
-    Signatures are dealt by themselves and sorted, the pivot first, and run through; a signature of very many sets is held by no task. A large
-    group of near copies shares its signatures, but these are hundreds.
-    """
+def signed(sets: DataFrame, scheme: Scheme, also: str, few: int | None = None) -> DataFrame:
+    """sig, node, and the column ``also`` of each signature of the sets (node, x, also)."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, x = _lists(batch.column(2))
             out: list[tuple[np.ndarray, int, int]] = []
             held = 0
-            nodes, commons = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, (node, common) in enumerate(zip(nodes, commons, strict=True)):
-                out.append((scheme.sign(x[offsets[k] : offsets[k + 1]]), node, common))
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for k, (node, more) in enumerate(rows):
+                out.append((scheme.sign(x[offsets[k] : offsets[k + 1]], few), node, more))
                 held += len(out[-1][0])
-                if held >= FLUSH or k == len(nodes) - 1:
-                    n = [len(s) for s, _, _ in out]
-                    data = [np.concatenate([s for s, _, _ in out]).view(np.int64), np.repeat(np.array([o[1] for o in out], np.int64), n), np.repeat(np.array([o[2] for o in out], np.int64), n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in data], names=["sig", "node", "common"])
+                if held >= FLUSH or k == len(rows) - 1:
+                    n = [len(sig) for sig, _, _ in out]
+                    data = [np.concatenate([o[0] for o in out]).view(np.int64), *[np.repeat(np.array([o[c] for o in out], np.int64), n) for c in (1, 2)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in data], names=["sig", "node", also])
                     out, held = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot, first_sent = None, 0, True
-        got: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+    return sets.select("node", also, "x").mapInArrow(run, f"sig bigint, node bigint, {also} bigint")
 
-        def counted() -> pa.RecordBatch:
-            p, z = (np.concatenate(c) for c in zip(*got, strict=True))
-            order = np.lexsort((z, p))
-            p, z = p[order], z[order]
-            at = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (z[1:] != z[:-1])]))
-            return pa.RecordBatch.from_arrays([pa.array(p[at]), pa.array(z[at]), pa.array(np.diff(np.append(at, len(p))))], names=["pivot", "node", "n"])
 
-        for batch in batches:
-            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(sig):
-                continue
-            new = np.concatenate([[last is None or sig[0] != last], sig[1:] != sig[:-1]])
-            starts = np.flatnonzero(new)
-            at = np.cumsum(new) - 1  # the run of each row; -1 goes on from the batch before
-            heads = np.append(node[starts], pivot)  # index -1 is the pivot from before
-            pivots = heads[at]
-            member = ~new
-            shared = np.zeros(len(starts), bool)
-            shared[at[member & (at >= 0)]] = True
-            p, z = [pivots[member], heads[:-1][shared]], [node[member], heads[:-1][shared]]
-            if not new[0] and not first_sent:
-                p.append(np.array([pivot])), z.append(np.array([pivot]))
-                first_sent = True
-            if len(starts):
-                first_sent = bool(shared[-1])
-                pivot = int(node[starts[-1]])
-            last = sig[-1]
-            got.append((np.concatenate(p), np.concatenate(z)))
-            held += len(got[-1][0])
-            if held >= FLUSH:
-                yield counted()
-                got, held = [], 0
-        if held:
-            yield counted()
-
-    signed = sets.select("node", "common", "x").mapInArrow(sign, "sig bigint, node bigint, common bigint")
-    dealt = signed.repartition("sig").sortWithinPartitions("sig", F.desc("common"), "node").select("sig", "node")
-    return dealt.mapInArrow(run, "pivot bigint, node bigint, n bigint").groupBy("pivot", "node").agg(F.sum("n").alias("n"))
+def leads(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """node, lead: of the sets (node, common, x) that with most common elements at a signature of the node; where these differ, at most signatures."""
+    rows = signed(sets, scheme, "common", LEADS).withColumn("lead", F.max(F.struct("common", "node")).over(Window.partitionBy("sig"))["node"])
+    rows = rows.where(F.col("lead") != F.col("node")).groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+
+
+def mixed_groups(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """pivot, node: for each signature of sets (node, component, x) of several components, its smallest node and all its nodes, itself included.
+
+    The sets of a signature are counted and compared with the smallest by a window that spills; a large group of near copies shares its
+    signatures, but these are hundreds, in as many tasks.
+    """
+    of_sig = Window.partitionBy("sig")
+    rows = signed(sets, scheme, "component").select("node", "component", F.min("node").over(of_sig).alias("pivot"), F.min("component").over(of_sig).alias("low"), F.max("component").over(of_sig).alias("high"))
+    return rows.where("low < high").select("pivot", "node").distinct()
 
 
 def _enough(x: np.ndarray, y: np.ndarray, scheme: Scheme) -> bool:
@@ -472,12 +430,11 @@ def similar(texts: DataFrame, width: int, scheme: Scheme) -> tuple[DataFrame, Da
     known = cut(left.select("node", "size", (F.col("size") - F.col("missing")).alias("common")))
     sets = element_sets(pick(texts, known.select("node"), ["node"], "left_semi"), width)
     sets = cut(attach(sets, known.select("node", "common"), "node"))
-    star = cut(stars(sets, scheme))
-    lead = star.where(F.col("pivot") != F.col("node")).groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("lead"))
-    lead = cut(lead)
+    lead = cut(leads(sets, scheme))
     links = cut(verify_leads(lead.select(F.col("lead").alias("pivot"), "node"), sets, scheme).distinct())
     so_far = cut(components(links))
-    rows = star.select("pivot", "node").join(known, "node").join(lead, "node", "left").join(so_far, "node", "left")
+    labelled = attach(sets, so_far, "node").select("node", "x", F.coalesce("component", "node").alias("component"))
+    rows = mixed_groups(labelled, scheme).join(known, "node").join(lead, "node", "left").join(so_far, "node", "left")
     tried = (F.col("pivot") == F.col("node")) | F.col("pivot").eqNullSafe(F.col("lead"))
     rows = rows.select("pivot", "node", "size", "common", F.coalesce("component", "node").alias("component"), tried.alias("tried"))
     more = cut(verify_groups(rows, sets, scheme).distinct())
