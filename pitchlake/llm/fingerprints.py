@@ -12,15 +12,18 @@ binary search. A fingerprint keeps what two texts need to be compared without th
 Likeness is the larger of two shares: of the longer text that the common ends cover, and the resemblance of the sketches.
 
 Texts meet their successor by ascending id without a second shuffle of texts: ids alone give the boundaries of blocks, each
-block of texts goes to one task in order, and the first text of a block also goes to the block before.
+block of texts goes to one task in order, and the first text of a block also goes to the block before. There are at most BLOCKS
+boundaries, whatever the number of rows. Rows that share an id follow each other by a hash of their text, and where one id (or the null
+id) has rows for several blocks, ranges of that hash are blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +37,8 @@ SKETCH = 32
 WIDTH = 16
 #: Code points of a text that are hashed at a time; bounds a worker's memory beside the text and its prefix arrays.
 CHUNK = 1 << 16
-#: Ids per block, about.
-BLOCK_ROWS = 4096
+#: Ids per block, about, and the most blocks; with more ids blocks are larger, and a task sorts (and spills) one.
+BLOCK_ROWS, BLOCKS = 4096, 16384
 
 _P = np.uint64(PRIME)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64) for _ in BASES]
@@ -166,44 +169,55 @@ def likeness(x: str, y: str) -> float:
     return min(1.0, max(ends, alike))
 
 
+class Blocks:
+    """Ranges of (id, hash): each bound ends a block, and a bound that stands several times has as many blocks of its own."""
+
+    def __init__(self, bounds: Sequence[int]) -> None:
+        self.bounds, times = np.unique(np.array(bounds, dtype=np.int64), return_counts=True)
+        self.own = np.where(times > 1, times, 0)
+        self.start = np.concatenate([[0], np.cumsum(1 + self.own)])
+
+    def __call__(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.bounds, key, side="left")
+        own = np.append(self.own, 0)[i] * (np.append(self.bounds, 0)[i] == key)
+        share = (h.astype(np.float64) / 2.0**64 + 0.5).clip(0, 1 - 1e-9)
+        return (self.start[i] + np.where(own > 0, 1 + (share * own).astype(np.int64), 0)).astype(np.int32)
+
+
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_rows: int) -> DataFrame:
     """_block, _guest, _id, _text: blocks of consecutive ids; each block's first text is also the guest of the block before (of the last block, for the first)."""
-    slim = hidden(docs, [id_col, text_col]).select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(2**63))).alias("_key"), F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    ids = hidden(docs, [id_col]).select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(2**63))).alias("_key"))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(2**63))).alias("_key")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    slim = hidden(docs, [id_col, text_col]).select(key, F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_h"))
+    ids = hidden(docs, [id_col]).select(key)
     n = ids.count()
-    k = max(1, -(-n // block_rows))
+    k = max(1, min(BLOCKS, -(-n // block_rows)))
     cuts = ids.agg(F.percentile_approx("_key", [i / k for i in range(1, k)], 10 * k).alias("c")).first().c if k > 1 else []
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+    shared = docs.sparkSession.sparkContext.broadcast(Blocks(cuts or []))
 
     @F.pandas_udf("int")
-    def block_of(key):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(shared.value, key.to_numpy(), side="left").astype(np.int32))
+    def block_of(key: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value(key.to_numpy(), h.to_numpy()))
 
-    first = ids.groupBy(block_of("_key").alias("_block")).agg(F.min("_key").alias("_first")).toArrow()
-    order = sorted(zip(first.column("_block").to_pylist(), first.column("_first").to_pylist(), strict=True))
-    heads = {key: order[i - 1][0] for i, (_, key) in enumerate(order)}  # the first's guest goes to the last
-    keys = np.array(sorted(heads), dtype=np.int64)
-    befores = np.array([heads[x] for x in keys.tolist()], dtype=np.int32)
-    guests = docs.sparkSession.sparkContext.broadcast((keys, befores))
+    # at most two rows for each bound come to the driver
+    first = slim.groupBy(block_of("_key", "_h").alias("_block")).agg(F.min(F.struct("_key", "_h")).alias("f")).select("_block", "f._key", "f._h").toArrow()
+    order = sorted(zip(*[first.column(c).to_pylist() for c in range(3)], strict=True))
+    heads = sorted((key, h, order[i - 1][0]) for i, (_, key, h) in enumerate(order))  # the first's guest goes to the last
+    at, hashes, befores = (np.array(c, dtype=np.int64) for c in zip(*heads, strict=True)) if heads else (np.zeros(0, np.int64),) * 3
+    guests = docs.sparkSession.sparkContext.broadcast((pd.MultiIndex.from_arrays([at, hashes]), befores.astype(np.int32)))
 
     @F.pandas_udf("int")
-    def guest_of(key):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        at, before = guests.value
-        x = key.to_numpy()
-        i = np.minimum(np.searchsorted(at, x), max(0, len(at) - 1))
-        return pd.Series(before[i], dtype="Int32").where(at[i] == x, None)
+    def guest_of(key: pd.Series, h: pd.Series) -> pd.Series:
+        heads, before = guests.value
+        i = heads.get_indexer(pd.MultiIndex.from_arrays([key, h])) if len(heads) else np.full(len(key), -1)
+        return pd.Series(np.append(before, 0)[i], dtype="Int32").where(i >= 0, None)
 
-    own = F.struct(block_of("_key").alias("_block"), F.lit(False).alias("_guest"))
-    other = F.struct(guest_of("_key").alias("_block"), F.lit(True).alias("_guest"))
+    own = F.struct(block_of("_key", "_h").alias("_block"), F.lit(False).alias("_guest"))
+    other = F.struct(guest_of("_key", "_h").alias("_block"), F.lit(True).alias("_guest"))
     dealt = slim.withColumn("_own", own).withColumn("_other", other)
-    dealt = dealt.select("_key", "_id", "_text", F.explode(F.when(F.col("_other._block").isNull(), F.array("_own")).otherwise(F.array("_own", "_other"))).alias("_to"))
-    dealt = dealt.select(F.col("_to._block").alias("_block"), F.col("_to._guest").alias("_guest"), "_key", "_id", "_text")
-    return dealt.repartition("_block").sortWithinPartitions("_block", "_guest", "_key", "_text").select("_block", "_guest", "_id", "_text")
+    dealt = dealt.select("_key", "_h", "_id", "_text", F.explode(F.when(F.col("_other._block").isNull(), F.array("_own")).otherwise(F.array("_own", "_other"))).alias("_to"))
+    dealt = dealt.select(F.col("_to._block").alias("_block"), F.col("_to._guest").alias("_guest"), "_key", "_h", "_id", "_text")
+    return dealt.repartition("_block").sortWithinPartitions("_block", "_guest", "_key", "_h", "_text").select("_block", "_guest", "_id", "_text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: float = 0.25, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -213,9 +227,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ascending id, after the last the first. ``common_prefix`` is the longest common prefix with the next document.
 
     Null texts count as empty; their fingerprints equal each other and are like no other text's. Null ids come first.
-    Rows that share an id follow each other by text; a table of one row is its own successor. An empty table gives an
-    empty result. Extra columns are ignored.
+    Rows that share an id follow each other by a hash of the text; a table of one row is its own successor. Ids must be of an integer
+    type (others raise TypeError). An empty table gives an empty result. Extra columns are ignored.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be of an integer type")
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]

@@ -3,11 +3,12 @@
 A document of n tokens gives floor(n / max_len) pieces of max_len tokens and one piece for each binary digit 1 of the
 remainder, longest first. No sequence crosses documents and none needs padding; sequences of one length form a bucket.
 
-Tokens come from a byte-level BPE file of the ``tokenizers`` library. Its vocabulary is also run by the ``tiktoken``
-core, which is several times as fast and gives the same ids (tests compare the two on every kind of text); what that core
-refuses goes to ``tokenizers`` itself. Words are encoded once per worker: cutting between two characters that are no
-white space, before a single space or around a single line feed, never changes the ids, because no token of the
-pre-tokenizer spans such a place.
+Tokens come from a file of the ``tokenizers`` library, with its ids, those of added tokens in the text included. If the file is a
+byte-level BPE with the usual pattern, no normalizer and plain added tokens, its vocabulary is also run by the ``tiktoken`` core,
+which is several times as fast and gives the same ids (tests compare the two on every kind of text); any other file, and what
+that core refuses, goes to ``tokenizers`` itself. The text is cut at added tokens first, as that library does. Words are encoded
+once per worker: cutting between two characters that are no white space, before a single space or around a single line feed,
+never changes the ids, because no token of the pre-tokenizer spans such a place.
 """
 
 from __future__ import annotations
@@ -53,6 +54,15 @@ class _Cache(dict):
         return ids
 
 
+def _usual(spec: dict) -> bool:
+    """Whether the file is a plain byte-level BPE with the usual pattern, and its added tokens are taken as they stand."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    split_as_usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    as_they_stand = not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return plain and split_as_usual and as_they_stand and not spec.get("normalizer")
+
+
 class Encoder:
     """Texts to packed little-endian unsigned 32-bit ids, with the ids of the tokenizer file."""
 
@@ -61,19 +71,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte_of = _byte_of()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.core = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.head = _Cache(self.plain)
-        self.tail = _Cache(lambda w: self.plain(" " + w))
-        self.feed = self.plain("\n")
+        added = spec.get("added_tokens", [])
+        self.special = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        # longer ones first, as the library prefers them where several start
+        self.cuts = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=lambda t: (-len(t), t)))) if added else None
+        self.fast = _usual(spec)
+        if self.fast:
+            byte_of = _byte_of()
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
+            self.core = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.head = _Cache(self.plain)
+            self.tail = _Cache(lambda w: self.plain(" " + w))
+            self.feed = self.plain("\n")
+
+    def exact(self, text: str) -> bytes:
+        """Ids as the library itself gives them."""
+        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def plain(self, text: str) -> bytes:
-        """Ids of a text as one piece."""
+        """Ids of a text without added tokens, as one piece."""
         if not text:
             return b""
         try:
@@ -81,10 +99,24 @@ class Encoder:
         except BaseException as e:  # the core panics on some very long runs
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+            return self.exact(text)
         return np.asarray(ids, dtype="<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
+        if not self.fast:
+            return self.exact(text)
+        if self.cuts is None or not self.cuts.search(text):
+            return self.words(text)
+        out, at = [], 0
+        for m in self.cuts.finditer(text):
+            out += [self.words(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.words(text[at:])])
+
+    def words(self, text: str) -> bytes:
+        """Ids of a text without added tokens, word by word where that changes nothing."""
+        if not text:
+            return b""
         if _BLANKS_MEET.search(text):
             return self.plain(text)
         if len(self.head) + len(self.tail) > CACHE:

@@ -50,7 +50,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint_documents(_table(spark, sf_dir, "documents"), tail=0.25)
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

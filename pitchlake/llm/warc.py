@@ -2,7 +2,7 @@
 
 An archive (.warc.zst) starts with a skippable frame that holds the dictionary; every record is a frame of its own,
 compressed with that dictionary, so any record can be read alone. The dictionary is trained on all records of its
-archive. Archives are closed at ``archive_bytes`` of uncompressed records, which bounds a task's memory.
+archive, be they few: a single record is enough. Archives are closed at ``archive_bytes`` of uncompressed records, which bounds a task's memory.
 
 Payloads that occur more than once are archived once: the group of a payload is found by its SHA-256 (a salted join, so a
 payload that makes up a third of the table is spread), one record of it is a response and the others are revisits that
@@ -13,9 +13,11 @@ renamed, so a retried or speculative task leaves whole files only.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.common import cut, hidden, salt, salts, shared_dir
 
+if TYPE_CHECKING:
+    import zstandard
+
 #: Magic number of the skippable frame for dictionaries, and of dictionaries themselves. Fixed values.
 SKIPPABLE = 0x184D2A5D
 DICTIONARY = b"\x37\xa4\x30\xec"
@@ -84,26 +89,32 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes | None]:
     return fields, payload
 
 
-def archive(records: list[bytes], dictionary_bytes: int = 1 << 16, level: int = 3) -> bytes:
-    """The records as one .warc.zst archive. Too few or too small records to train on give one without a dictionary."""
+def train(records: Sequence[bytes], size: int) -> zstandard.ZstdCompressionDict:
+    """A dictionary of at most ``size`` bytes, or 256, from all the records; records too few to train on are cut up and repeated."""
     import zstandard as z
 
-    out, trained = [], None
+    total = sum(map(len, records))
     if len(records) >= 8:
-        try:
-            trained = z.train_dictionary(min(dictionary_bytes, sum(map(len, records)) // 8), records, k=256, d=8)
-        except z.ZstdError:
-            trained = None
-    if trained is not None:
-        data = z.ZstdCompressor(level=level).compress(trained.as_bytes())
-        out.append(SKIPPABLE.to_bytes(4, "little") + len(data).to_bytes(4, "little") + data)
-    packer = z.ZstdCompressor(level=level, dict_data=trained) if trained is not None else z.ZstdCompressor(level=level)
-    out += map(packer.compress, records)
-    return b"".join(out)
+        with contextlib.suppress(z.ZstdError):
+            return z.train_dictionary(max(256, min(size, total // 8)), records, k=256, d=8)
+    pieces = [r[i : i + 64] for r in records for i in range(0, len(r), 64)]
+    return z.train_dictionary(max(256, min(size, total // 2)), pieces * max(16, 1 + 4096 // max(1, total)), k=256, d=8)
+
+
+def archive(records: Sequence[bytes], dictionary_bytes: int = 1 << 16, level: int = 3) -> bytes:
+    """The records as one .warc.zst archive: the dictionary in a skippable frame, then a frame for each record. No records give no bytes."""
+    import zstandard as z
+
+    if not records:
+        return b""
+    trained = train(records, dictionary_bytes)
+    data = z.ZstdCompressor(level=level).compress(trained.as_bytes())
+    packer = z.ZstdCompressor(level=level, dict_data=trained)
+    return b"".join([SKIPPABLE.to_bytes(4, "little") + len(data).to_bytes(4, "little") + data, *map(packer.compress, records)])
 
 
 def records_of(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one by one."""
+    """The records of an archive, one by one; each is fed in windows, so that what follows it is hardly copied."""
     import zstandard as z
 
     known, at = None, 0
@@ -114,9 +125,14 @@ def records_of(data: bytes) -> Iterator[bytes]:
     view = memoryview(data)
     unpacker = z.ZstdDecompressor(dict_data=known) if known is not None else z.ZstdDecompressor()
     while at < len(data):
-        one = unpacker.decompressobj()
-        yield one.decompress(view[at:])
-        at = len(data) - len(one.unused_data)
+        one, parts, window = unpacker.decompressobj(), [], 1024
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a record")
+            parts.append(one.decompress(view[at : at + window]))
+            at += len(view[at : at + window]) - len(one.unused_data)
+            window = min(2 * window, 1 << 20)
+        yield b"".join(parts)
 
 
 def with_referents(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
@@ -136,7 +152,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Null html is an empty payload. Of payloads of at least ``min_bytes`` bytes that are equal, the page with the largest
     id is the response (all rows with that id, if it is repeated) and the others are revisits; smaller payloads are all
     responses. Null ids are archived with an empty id, and are the response only where no page of the group has an id.
-    A null or empty url becomes a urn. No pages give no archives. Extra columns are ignored.
+    A null or empty url becomes a urn. Ids may be of any type that has an order and a text without line ends. No pages give no archives.
+    Extra columns are ignored.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +190,12 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return cut(with_referents(pages, id_col, url_col, html_col, min_bytes).mapInArrow(write, "path string, n_records bigint, n_bytes bigint"))
 
 
-def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the manifest's archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
+def read_warc(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
+    """The records of the manifest's archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload.
 
-    def number(text: str) -> int | None:
-        return int(text) if text else None
+    Ids are text in archives; ``id_type`` is the type that they get.
+    """
+    schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -191,12 +208,13 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 yield table(map(parse, records_of(data)))
 
     def table(found: Iterable[tuple[dict[str, str], bytes | None]]) -> pa.RecordBatch:
-        rows = [(number(f["X-Page-Id"]), int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], number(f.get("X-Refers-To-Page-Id", "")), f["WARC-Target-URI"], p) for f, p in found]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        rows = [(f["X-Page-Id"] or None, int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], f.get("X-Refers-To-Page-Id") or None, f["WARC-Target-URI"], p) for f, p in found]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     files = manifest.select("path")
-    return files.repartition(max(1, min(10_000, manifest.count())), "path").mapInArrow(read, schema)
+    found = files.repartition(max(1, min(10_000, manifest.count())), "path").mapInArrow(read, schema)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def new_folder(pages: DataFrame) -> str:

@@ -242,14 +242,27 @@ def tokenizer():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_encoder(tokenizer):
-    encode = packing.Encoder(tokenizer)
+def test_encoder(tokenizer, tmp_path):
+    """The ids of an untouched tokenizer, added tokens included; files that aren't the usual kind go to the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
     texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
     rng = random.Random(6)
-    texts += ["".join(rng.choice("aB é\n\t'1,.  日  \x1c") for _ in range(rng.randrange(60))) for _ in range(500)]
-    texts += ["", " ", "\n", "don't <|endoftext|> stop", "x" * 5000, " " * 3000]
-    for t, e in zip(texts, encode.slow.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(encode(t), "<u4").tolist() == e.ids
+    bits = [*"aB é\n\t'1,.  日  \x1c", "<|endoftext|>", "<|endoftext", "|>"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(500)]
+    texts += ["", " ", "\n", "don't <|endoftext|> stop", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "x" * 5000, " " * 3000]
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    for path in (tokenizer, str(tmp_path / "other.json")):
+        encode, library = packing.Encoder(path), Tokenizer.from_file(path)
+        assert encode.fast == (path == tokenizer)
+        for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(encode(t), "<u4").tolist() == e.ids
+    assert np.frombuffer(packing.Encoder(tokenizer)("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
 
 
 def test_packing(spark, odd, empty, tokenizer):
@@ -290,7 +303,18 @@ def test_fingerprints(spark, odd, empty):
             edited = t[: len(t) - k] + rows[(n + 1) % len(rows)][1][:k]
             assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
             assert len(t) < 40 or got[i].near_edited > 0.5 > got[i].near_next
+            assert got[i].common_prefix == len(os.path.commonprefix([t, rows[(n + 1) % len(rows)][1]]))
+            assert got[i].near_edited == fp.likeness(fp.fingerprint(fp.Prefixes(fp.points(t))), fp.fingerprint(fp.Prefixes(fp.points(edited))))
     assert fp.fingerprint_documents(odd, block_rows=2).count() == len(ODD)
+    # one id has most rows: its blocks are ranges of the text's hash, and each row still has one successor
+    hot = [(7 if i % 4 else i, f"text {i} of many " * 5) for i in range(200)]
+    got = fp.fingerprint_documents(table(spark, hot), block_rows=10).collect()
+    blocks = fp.in_blocks(table(spark, hot), "doc_id", "text", 10).where("NOT _guest").groupBy("_block").count().collect()
+    assert len(got) == 200 and max(r["count"] for r in blocks) < 40 and len(blocks) > 10
+    followers = {(r.doc_id, r.edited_sha256) for r in got}
+    assert len(followers) == 200
+    with pytest.raises(TypeError):
+        fp.fingerprint_documents(odd.withColumn("doc_id", F.lit("x")))
     assert fp.fingerprint_documents(empty).count() == 0
 
 
@@ -369,7 +393,14 @@ def test_warc(spark, tmp_path):
     records = [warc.record(i, "u", os.urandom(20) + b"common words in every record " * 5) for i in range(300)]
     data = warc.archive(records)
     assert data[:4] == warc.SKIPPABLE.to_bytes(4, "little") and list(warc.records_of(data)) == records
-    assert list(warc.records_of(warc.archive(records[:2]))) == records[:2]
+    for few in (records[:1], records[:2], records[:7], [warc.record(1, None, b"")], [warc.record(1, None, os.urandom(100_000))] * 9, [b"x"]):
+        data = warc.archive(few)
+        assert data[:4] == warc.SKIPPABLE.to_bytes(4, "little") and list(warc.records_of(data)) == few
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.records_of(data[:-1]))
+    named = spark.createDataFrame([("a", "u", "x", 1), ("b", "u", "x", 2), (None, "u", "y", 3)], "page_id string, url string, html string, refers_to long")
+    got = warc.read_warc(warc.write_warc(named, folder + "4"), folder + "4", "string").collect()
+    assert sorted((r.page_id or "", r.record_type, r.refers_to or "") for r in got) == [("", "response", ""), ("a", "revisit", "b"), ("b", "response", "")]
 
 
 def test_languages(spark, odd, empty):
