@@ -81,6 +81,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) ELSE [w] END) AS x FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.m) AS component_id
+FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+#: Base32 takes 20 bits, five hexadecimal digits, at a time.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+k AS (SELECT t, max(page_id) AS keep, sha1(t) AS h FROM p GROUP BY t),
+b AS (SELECT t, keep, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS INTEGER)) AS v FROM k),
+x AS (SELECT t, keep, array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda z: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> z) & 31) + 1, 1)), '')), '') AS digest FROM b)
+SELECT p.page_id, CAST(octet_length(encode(p.t)) AS BIGINT) AS payload_bytes, x.digest AS payload_digest,
+       CASE WHEN p.page_id = x.keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> x.keep THEN x.keep END AS refers_to
+FROM p JOIN x ON p.t = x.t
+"""
+
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -139,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op9_warc": OP9_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}

@@ -12,15 +12,16 @@ Scoring. Because scores are log-odds of the two classes' word distributions, the
 and the scale parameter of the extreme-value law of its best segment is 1. A linear scan (Ruzzo and Tompa) lists all
 maximal segments. A segment of score S among n words has the normalised score S - ln n, and by the Gumbel law with location and
 scale fitted to the clean documents' best segments a p-value; segments with p < ``alpha`` are the significant passages.
-The document's evidence, -ln p of its best segment, becomes a probability by monotone calibration on the labelled
-documents.
+The document's evidence is -ln p of its r best segments together, for the best r (``evidence``); it becomes a probability by
+monotone calibration on labelled documents, each scored by words that were learnt without it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,8 +34,8 @@ EULER = 0.5772156649015329
 FLUSH = 200_000
 #: Up to so many labelled ids are broadcast to pick the labelled texts (12 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
-#: Steps of evidence in the calibration table.
-STEPS = 400
+#: Steps of evidence in the calibration table, and the evidence from which on all is one step.
+STEPS, MOST = 400, 60.0
 
 #: A-Z become a-z; a-z and all bytes of non-ASCII characters stay; every other ASCII character separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -48,33 +49,34 @@ def _binary(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def count_words(docs: DataFrame, text_col: str, flag_col: str, only: frozenset[bytes] | None = None) -> DataFrame:
-    """word (binary), n0, n1: in how many documents with flag 0 and 1 it is. The empty word has the sums over all words (n0, n1) and the numbers of documents (d0, d1)."""
+def count_words(docs: DataFrame, text_col: str, kind_col: str, kinds: int, only: frozenset[bytes] | None = None) -> DataFrame:
+    """word (binary), n0, n1, ...: in how many documents of each kind it is. The empty word has the sums over all words, and in d0, d1, ... the numbers of documents."""
+    names = [f"n{k}" for k in range(kinds)] + [f"d{k}" for k in range(kinds)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
-        docs_of = [0, 0]
+        seen: list[Counter[bytes]] = [Counter() for _ in range(kinds)]
+        docs_of = [0] * kinds
 
         def flush() -> pa.RecordBatch:
-            words = list(seen[0].keys() | seen[1].keys())
+            words = list(set().union(*seen))
             data = [pa.array(words, pa.binary()), *[pa.array([c[w] for w in words], pa.int64()) for c in seen], *[pa.array([0 if w else n for w in words], pa.int64()) for n in docs_of]]
-            seen[0].clear()
-            seen[1].clear()
-            docs_of[:] = 0, 0
-            return pa.RecordBatch.from_arrays(data, names=["word", "n0", "n1", "d0", "d1"])
+            for c in seen:
+                c.clear()
+            docs_of[:] = [0] * kinds
+            return pa.RecordBatch.from_arrays(data, names=["word", *names])
 
         for batch in batches:
-            for text, flag in zip(_binary(batch, 0), batch.column(1).to_pylist(), strict=True):
+            for text, kind in zip(_binary(batch, 0), batch.column(1).to_pylist(), strict=True):
                 words = set(words_of(text))
-                seen[flag][b""] += len(words)
-                docs_of[flag] += 1
-                seen[flag].update(words if only is None else words & only)
-                if len(seen[0]) + len(seen[1]) > FLUSH:
+                seen[kind][b""] += len(words)
+                docs_of[kind] += 1
+                seen[kind].update(words if only is None else words & only)
+                if sum(map(len, seen)) > FLUSH:
                     yield flush()
         yield flush()
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{flag_col}`").cast("int").alias("f"))
-    return rows.mapInArrow(count, "word binary, n0 bigint, n1 bigint, d0 bigint, d1 bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")])
+    rows = docs.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{kind_col}`").cast("int").alias("k"))
+    return rows.mapInArrow(count, "word binary, " + ", ".join(f"{n} bigint" for n in names)).groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def likelihood_ratio(k1: int, d1: int, k0: int, d0: int) -> float:
@@ -87,21 +89,48 @@ def likelihood_ratio(k1: int, d1: int, k0: int, d0: int) -> float:
     return 2 * (part(k1, d1, p) + part(k0, d0, p)) if 0 < p < 1 else 0.0
 
 
-def learn_scores(docs: DataFrame, labelled: DataFrame, text_col: str, flag_col: str, prior: float, min_ratio: float, min_rate: float) -> tuple[dict[bytes, float], float]:
-    """Word scores from the labelled rows (flag 0 or 1), with the prior from all documents."""
-    counts = cut(count_words(labelled, text_col, flag_col))
+#: Word scores and the score of all other words.
+Model = tuple[dict[bytes, float], float]
+
+
+def learn_scores(docs: DataFrame, labelled: DataFrame, text_col: str, flag_col: str, half_col: str, prior: float, min_ratio: float, min_rate: float) -> list[Model]:
+    """The models learnt from all labelled rows (flag 0 or 1), from those of half 0 and from those of half 1; the prior is from all documents.
+
+    A model is empty if its rows lack one of the two labels.
+    """
+    kinds = labelled.select(F.col(text_col), (2 * F.col(half_col) + F.col(flag_col)).alias("_kind"))
+    counts = cut(count_words(kinds, text_col, "_kind", 4))
     total = counts.where(F.col("word") == F.lit(b"")).first()
-    if total is None or total.n0 == 0 or total.n1 == 0:
-        return {}, 0.0
-    n0, n1 = total.n0, total.n1
-    likely = counts.where((F.col("word") != F.lit(b"")) & (F.col("n1") >= max(3.0, min_rate * total.d1)) & (F.col("n1") / total.d1 > F.col("n0") / total.d0)).toArrow()
-    words = [bytes(w) for w in likely.column("word").to_pylist()]
-    found = list(zip(words, likely.column("n0").to_pylist(), likely.column("n1").to_pylist(), strict=True))
-    least = min_ratio + 2 * math.log(max(1, len(found)))
-    found = [x for x in found if likelihood_ratio(x[2], total.d1, x[1], total.d0) >= least]
-    only = frozenset(x[0] for x in found)
-    spread = count_words(docs.select(F.col(f"`{text_col}`"), F.lit(0).alias("_flag")), text_col, "_flag", only).toArrow()
-    corpus = {bytes(w): n for w, n in zip(spread.column("word").to_pylist(), spread.column("n0").to_pylist(), strict=True)}
+    if total is None:
+        return [({}, 0.0)] * 3
+    parts = ((0, 1), (0,), (1,))
+    sums = [[(sum(total[f"{c}{2 * h + flag}"] for h in part)) for c in "nd" for flag in (0, 1)] for part in parts]
+    usable = [n0 > 0 and n1 > 0 for n0, n1, _, _ in sums]
+
+    def of(part: Sequence[int], flag: int) -> Column:
+        return sum((F.col(f"n{2 * h + flag}") for h in part), F.lit(0))
+
+    def likely(part: Sequence[int], d0: int, d1: int) -> Column:
+        return (of(part, 1) >= max(3.0, min_rate * d1)) & (of(part, 1) / d1 > of(part, 0) / d0)
+
+    wanted = [likely(part, d0, d1) for part, (_, _, d0, d1), use in zip(parts, sums, usable, strict=True) if use]
+    if not wanted:
+        return [({}, 0.0)] * 3
+    rows = counts.where((F.col("word") != F.lit(b"")) & functools.reduce(Column.__or__, wanted)).toArrow().to_pylist()
+    found = []
+    for part, (_, _, d0, d1), use in zip(parts, sums, usable, strict=True):
+        own = [(r["word"], sum(r[f"n{2 * h}"] for h in part), sum(r[f"n{2 * h + 1}"] for h in part)) for r in rows] if use else []
+        own = [x for x in own if x[2] >= max(3.0, min_rate * d1) and x[2] / d1 > x[1] / d0]
+        least = min_ratio + 2 * math.log(max(1, len(own)))
+        found.append([x for x in own if likelihood_ratio(x[2], d1, x[1], d0) >= least])
+    only = frozenset(x[0] for own in found for x in own)
+    spread = count_words(docs.select(F.col(f"`{text_col}`"), F.lit(0).alias("_kind")), text_col, "_kind", 1, only).toArrow()
+    corpus = dict(zip(spread.column("word").to_pylist(), spread.column("n0").to_pylist(), strict=True))
+    return [score_words(own, n0, n1, corpus, prior) for own, (n0, n1, _, _) in zip(found, sums, strict=True)]
+
+
+def score_words(found: Sequence[tuple[bytes, int, int]], n0: int, n1: int, corpus: Mapping[bytes, int], prior: float) -> Model:
+    """Log-odds with the prior of words (word, clean count, toxic count) where the classes have n0 and n1 words; only positive ones are kept."""
     everything = max(1, corpus.get(b"", 0))
     scores: dict[bytes, float] = {}
     left0 = left1 = 1.0
@@ -142,28 +171,50 @@ def segments(events: Sequence[tuple[int, float]], n: int, other: float) -> list[
     return [(first, last, right - left) for left, right, first, last in runs]
 
 
-def scan(docs: DataFrame, scores: dict[bytes, float], other: float, own: Sequence[str], text_col: str) -> DataFrame:
-    """The columns ``own``, n_words, best (score of the best segment, 0 without one), passages (first, last, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(scores)
+def scan(docs: DataFrame, models: Sequence[Model], own: Sequence[str], text_col: str, model: Column) -> DataFrame:
+    """The columns ``own``, n_words, best (score of the best segment, 0 without one), passages (first, last, score), by the model of the number ``model``."""
+    shared = docs.sparkSession.sparkContext.broadcast(list(models))
     passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        watched = known.keys()
         for batch in batches:
             lengths, bests, lists = [], [], []
-            for text in _binary(batch, 0):
+            for text, k in zip(_binary(batch, 0), batch.column(1).to_pylist(), strict=True):
+                known, other = shared.value[k]
                 words = words_of(text)
                 found = []
-                if not watched.isdisjoint(words):
+                if not known.keys().isdisjoint(words):
                     found = segments([(i, known[w]) for i, w in enumerate(words) if w in known], len(words), other)
                 lengths.append(len(words))
                 bests.append(max((s for _, _, s in found), default=0.0))
                 lists.append([{"first": a, "last": b, "score": s} for a, b, s in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lengths, pa.int64()), pa.array(bests, pa.float64()), pa.array(lists, passage)], names=[*own, "n_words", "best", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lengths, pa.int64()), pa.array(bests, pa.float64()), pa.array(lists, passage)], names=[*own, "n_words", "best", "passages"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", n_words bigint, best double, passages array<struct<first:bigint,last:bigint,score:double>>"
-    return docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{text_col}`").alias("_text"), model.alias("_model"), *[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+
+
+def evidence(location: float, scale: float) -> Column:
+    """-ln p of the passages of a document (n_words, passages), 0 without any: of the r best together, for the r that gives most.
+
+    The best alone follows the Gumbel law. The sum t of the normalised scores of the r best has p = exp(-t) t^(r-1) / (r! (r-1)!), and each
+    further one costs a factor of two for the choice of r. Only passages above the location count beyond the first.
+    """
+    y = F.reverse(F.array_sort(F.transform("passages", lambda x: (x["score"] - F.log("n_words") - location) / scale)))
+    first = F.greatest(y[0], F.lit(-700.0))
+    alone = F.when(first > 27, first).otherwise(-F.log(-F.expm1(-F.exp(-first))))
+
+    def add(s: Column, x: Column) -> Column:
+        r, t = s["r"] + 1, s["t"] + x
+        logs = s["logs"] + F.log(r) + F.log(F.greatest(s["r"], F.lit(1.0)))
+        both = t - s["r"] * F.log(F.greatest(t, F.lit(1.0))) + logs - s["r"] * math.log(2)
+        counts = (x > 0) & (t > r)
+        most = F.when(s["r"] == 0, alone).when(counts, F.greatest(s["most"], both)).otherwise(s["most"])
+        return F.struct(r.alias("r"), t.alias("t"), logs.alias("logs"), most.alias("most"))
+
+    start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("t"), F.lit(0.0).alias("logs"), F.lit(0.0).alias("most"))
+    found = F.aggregate(y, start, add, lambda s: s["most"])
+    return F.when(F.size("passages") > 0, F.greatest(found, F.lit(0.0))).otherwise(0.0)
 
 
 def monotone(counts: Sequence[tuple[int, int, int]], steps: int) -> list[float]:
@@ -187,6 +238,11 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def half(id_col: Column) -> Column:
+    """0 or 1, by a hash of the id that is independent of the folds."""
+    return F.pmod(F.xxhash64(F.lit("half"), id_col.cast("string")), F.lit(2)).cast("int")
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -200,37 +256,43 @@ def score_toxicity(
     min_rate: float = 0.001,
     alpha: float = 0.01,
 ) -> DataFrame:
-    """One row per document: id_col, held_out, score, predicted, n_words, best, passages (first, last word, score, p_value).
+    """One row per document: id_col, held_out, score, predicted, n_words, best, evidence, passages (first, last word, score, p_value).
 
     Labels other than 0 and 1, of held-out rows, or with a null id are not learnt from; a document with labels of both kinds
     counts as toxic. With too few labels to learn from every score is 0. Null and empty texts have no segment and get
     the score of documents without evidence. Repeated rows are scored each; an empty table gives an empty result.
     Extra columns are ignored.
+
+    Law and calibration are fitted to labelled documents scored by the words of the other half of the labelled documents, so that no
+    document calibrates words that were chosen on it. Where a half has too few labels to learn from, all are scored by the words of all.
     """
     slim = hidden(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     flags = hidden(labels, [id_col, label_col]).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_flag"))
     flags = flags.where(F.col("_id").isNotNull() & F.col("_flag").isin(0, 1) & ~held_out(F.col("_id"), folds, fold)).groupBy("_id").agg(F.max("_flag").alias("_flag"))
-    flags = cut(flags)
-    few = flags.count() <= BROADCAST_LABELS
-    scores, other = learn_scores(slim, slim.join(F.broadcast(flags) if few else flags, "_id"), "_text", "_flag", prior, min_ratio, min_rate)
-    scanned = cut(scan(slim, scores, other, ["_id"], "_text"))
-    learnt = scanned.join(flags, "_id").select("_flag", "n_words", "best")
+    flags = cut(flags.withColumn("_half", half(F.col("_id"))))
+    labelled = slim.join(F.broadcast(flags) if flags.count() <= BROADCAST_LABELS else flags, "_id")
+    models = learn_scores(slim, labelled, "_text", "_flag", "_half", prior, min_ratio, min_rate)
+    crossed = all(known for known, _ in models)
+    scanned = cut(scan(slim, models, ["_id"], "_text", F.lit(0)))
+    if crossed:
+        learnt = cut(scan(labelled, models, ["_flag"], "_text", 2 - F.col("_half")))
+    else:
+        learnt = scanned.join(flags, "_id").select("_flag", "n_words", "best", "passages")
     clean = learnt.where((F.col("_flag") == 0) & (F.col("best") > 0)).select((F.col("best") - F.log("n_words")).alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("x").alias("n")).first()
     scale = max(1.0, (clean.s or 0.0) * math.sqrt(6) / math.pi) if clean.n >= 20 else 1.0
     location = clean.m - EULER * scale if clean.n >= 20 else 0.0
-    y = (F.col("best") - F.log("n_words") - location) / scale
-    tail = F.exp(-F.least(F.greatest(y, F.lit(-700.0)), F.lit(700.0)))
-    ev = F.when((F.col("best") <= 0) | (F.col("n_words") == 0), 0.0).otherwise(F.when(tail > 1e-12, -F.log(-F.expm1(-tail))).otherwise(y))
-    scanned = scanned.withColumn("_e", F.least(ev, F.lit(60.0)))
-    learnt = learnt.withColumn("_e", F.least(ev, F.lit(60.0)))
-    step = F.when(F.col("best") <= 0, 0).otherwise(F.least(1 + F.floor(F.col("_e") / 60.0 * (STEPS - 1)), F.lit(STEPS - 1))).cast("int")
+    e = evidence(location, scale)
+    step = F.when(F.col("best") <= 0, 0).otherwise(F.least(1 + F.floor(F.col("evidence") / MOST * (STEPS - 1)), F.lit(STEPS - 1))).cast("int")
+    learnt = learnt.withColumn("evidence", e)
     counts = [(r.k, r.n, r.n1) for r in learnt.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("_flag").alias("n1")).collect()]
-    table = monotone(counts, STEPS) if counts else [0.0] * STEPS
+    table = monotone(counts, STEPS) if counts and models[0][0] else [0.0] * STEPS
+    scanned = scanned.withColumn("evidence", e)
     # inside a step of equal probability a document with more evidence still ranks higher
     raw = F.element_at(F.array(*[F.lit(p) for p in table]), step + 1)
-    score = raw + F.when(raw < 0.5, F.least(F.lit(0.499) - raw, F.lit(0.001))).otherwise(F.least(F.lit(1.0) - raw, F.lit(0.001))) * F.col("_e") / 60.0
+    more = F.col("evidence") / (F.col("evidence") + MOST)
+    score = raw + F.when(raw < 0.5, F.least(F.lit(0.499) - raw, F.lit(0.001))).otherwise(F.least(F.lit(1.0) - raw, F.lit(0.001))) * more
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     p_value = lambda s: -F.expm1(-F.exp(-(s - F.log("n_words") - location) / scale))
     passages = F.filter(F.transform("passages", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["score"].alias("score"), p_value(x["score"]).alias("p_value"))), lambda x: x["p_value"] < alpha)
-    out = scanned.select(F.col("_id").alias(id_col), held_out(F.col("_id"), folds, fold).alias("held_out"), score.alias("score"), "n_words", "best", passages.alias("passages"))
+    out = scanned.select(F.col("_id").alias(id_col), held_out(F.col("_id"), folds, fold).alias("held_out"), score.alias("score"), "n_words", "best", "evidence", passages.alias("passages"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

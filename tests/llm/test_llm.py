@@ -237,6 +237,129 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def brute_toxicity(texts, labels, min_rate=0.001):
+    """All of score_toxicity, by plain loops: scores, evidence and passages of each text; labels: text number to (flag, half)."""
+    import math
+
+    words = [re.findall("[a-z\\x80-\\U0010ffff]+", (t or "").translate(LOW)) for t in texts]
+
+    def learn(rows):
+        df = [{}, {}]
+        for i in rows:
+            for w in set(words[i]):
+                df[labels[i][0]][w] = df[labels[i][0]].get(w, 0) + 1
+        d = [sum(labels[i][0] == f for i in rows) for f in (0, 1)]
+        n = [sum(x.values()) for x in df]
+        own = [w for w in df[1] if df[1][w] >= max(3, min_rate * d[1]) and df[1][w] / d[1] > df[0].get(w, 0) / d[0]]
+
+        def g2(w):
+            total = 0
+            for f in (0, 1):
+                k, p = df[f].get(w, 0), (df[0].get(w, 0) + df[1][w]) / sum(d)
+                total += sum(x * math.log(x / (d[f] * q)) for x, q in ((k, p), (d[f] - k, 1 - p)) if x)
+            return 2 * total
+
+        own = [w for w in own if g2(w) >= 8 + 2 * math.log(len(own))]
+        everything = sum(len(set(x)) for x in words)
+        scores, left = {}, [1.0, 1.0]
+        for w in own:
+            a = 1000 * sum(w in set(x) for x in words) / everything
+            odds = [(df[f].get(w, 0) + a, n[f] + 1000) for f in (0, 1)]
+            score = math.log(odds[1][0] / (odds[1][1] - odds[1][0])) - math.log(odds[0][0] / (odds[0][1] - odds[0][0]))
+            if score > 0:
+                scores[w] = score
+                left = [x - o[0] / o[1] for x, o in zip(left, odds)]
+        return scores, min(math.log(left[1] / left[0]), -1e-4)
+
+    def found(i, model):
+        """Maximal segments: the best stretch, then those left and right of it."""
+        s = [model[0].get(w, model[1]) for w in words[i]]
+
+        def best(a, b):
+            top, at, low, start = 0, None, 0, a
+            total = 0
+            for k in range(a, b):
+                total += s[k]
+                if total - low > top + 1e-12:
+                    top, at = total - low, (start, k)
+                if total <= low:
+                    low, start = total, k + 1
+            return [] if at is None else [*best(a, at[0]), (top, at), *best(at[1] + 1, b)]
+
+        return best(0, len(s))
+
+    models = [learn([i for i in labels if h is None or labels[i][1] == h]) for h in (None, 0, 1)]
+    fitted = {i: found(i, models[2 - labels[i][1]]) for i in labels}
+    x = [max(p[0] for p in fitted[i]) - math.log(len(words[i])) for i in labels if not labels[i][0] and fitted[i]]
+    mean = sum(x) / len(x)
+    scale = max(1.0, math.sqrt(sum((v - mean) ** 2 for v in x) / len(x)) * math.sqrt(6) / math.pi) if len(x) >= 20 else 1.0
+    location = mean - toxicity.EULER * scale if len(x) >= 20 else 0.0
+
+    def evidence(i, passages):
+        ys = sorted(((p[0] - math.log(len(words[i])) - location) / scale for p in passages), reverse=True)
+        if not ys:
+            return 0.0
+        out, t = [ys[0] if ys[0] > 27 else -math.log(-math.expm1(-math.exp(-ys[0])))], ys[0]
+        for r in range(2, len(ys) + 1):
+            t += ys[r - 1]
+            if ys[r - 1] > 0 and t > r:
+                out.append(t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+        return max(0.0, *out)
+
+    def step(e, any_found):
+        return min(1 + int(e / 60 * 399), 399) if any_found else 0
+
+    pairs = sorted((step(evidence(i, fitted[i]), bool(fitted[i])), labels[i][0]) for i in labels)
+    steps = sorted({k for k, _ in pairs})
+    # the greatest minimum of means over all ranges gives the pooled means of a rising fit
+    n = {k: (sum(a == k for a, _ in pairs), sum(f for a, f in pairs if a == k)) for k in steps}
+
+    def pooled(k):
+        def mean(a, b):
+            own = [n[x] for x in steps if a <= x <= b]
+            return sum(y for _, y in own) / sum(c for c, _ in own)
+
+        lows = [a for a in steps if a <= k]
+        return max((min((mean(a, b), b) for b in steps if b >= k)[0], a) for a in lows)[0]
+
+    level = {k: pooled(k) for k in steps}
+    smooth = {k: (sum(n[x][1] for x in steps if level[x] == level[k]) + 0.5) / (sum(n[x][0] for x in steps if level[x] == level[k]) + 1) for k in steps}
+    result = []
+    for i in range(len(texts)):
+        passages = found(i, models[0])
+        e = evidence(i, passages)
+        raw = smooth[max([k for k in steps if k <= step(e, bool(passages))], default=steps[0])]
+        result.append((raw + min((0.499 if raw < 0.5 else 1) - raw, 0.001) * e / (e + 60), e, sorted(at for _, at in passages)))
+    return result
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = random.Random(14)
+    clean = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    bad = ["vile", "nasty", "foul", "grim"]
+    texts, flags = [], {}
+    for i in range(160):
+        w = [rng.choice(clean) for _ in range(rng.randrange(20, 600))]
+        toxic = i % 3 == 0
+        for _ in range(rng.choice([1, 2, 3, 6]) if toxic else rng.random() < 0.15):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [rng.choice(bad) for _ in range(rng.choice([1, 2, 3]))]
+        texts.append(" ".join(w))
+        if i % 8:
+            flags[i] = int(toxic)
+    texts += [None, "", "vile"]
+    docs = table(spark, list(enumerate(texts)))
+    halves = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.half(F.col("doc_id")).alias("h")).collect()}
+    train = {i: (f, halves[i]) for i, f in flags.items() if zlib.crc32(str(i).encode()) % 5}
+    labels = spark.createDataFrame(list(flags.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels, alpha=2.0).collect()}
+    expected = brute_toxicity(texts, train)
+    assert any(len(p) > 1 for _, _, p in expected) and len({round(x[0], 3) for x in expected}) > 2
+    for i, (score, e, passages) in enumerate(expected):
+        assert got[i].evidence == pytest.approx(e, abs=1e-6) and got[i].score == pytest.approx(score, abs=1e-6)
+        assert sorted((p["first"], p["last"]) for p in got[i].passages) == passages
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -372,6 +495,45 @@ def test_license_blocks(spark):
     assert [(b.first, b.last) for b in got[7].blocks] == [(0, 19), (20, 39)]
 
 
+def test_license_blocks_by_brute_force(spark):
+    """Every window of twice a template's length that has enough of its words, names included, and no other label."""
+    import math
+
+    rng = random.Random(19)
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = rng.choice(["x", "y", "mit", "nc", "license"])
+            for _ in range(rng.randrange(4)):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(["and", "so", "q"]) + " ." * rng.randrange(3))
+            parts += [*w, *["z"] * rng.randrange(30)]
+        rows.append((i, rng.choice([" ", "\n"]).join(parts)))
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    seen = set()
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+        expected = {}
+        for label, template in licenses.TEMPLATES:
+            own = set(re.findall("[a-z0-9]+", template))
+            width = 2 * len(re.findall("[a-z0-9]+", template))
+            for a in range(len(w)):
+                hit = own & set(w[a : a + width])
+                if len(hit) >= math.ceil(0.85 * len(own)) and own & licenses.NAMES <= hit:
+                    expected[label] = max(expected.get(label, 0), len(hit) / len(own))
+        base = {label for phrase, label in licenses.PHRASES.items() if any(w[k : k + len(phrase.split())] == phrase.split() for k in range(len(w)))}
+        assert got[i].labels == ",".join(sorted(base | expected.keys()))
+        assert got[i].score == (1.0 if base else max(expected.values(), default=0.0))
+        best = {}
+        for b in got[i].blocks:
+            best[b.label] = max(best.get(b.label, 0), b.containment)
+        assert best == expected
+        seen |= expected.keys()
+    assert len(seen) == len({label for label, _ in licenses.TEMPLATES})
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/é\r\nX: y", "<p>a</p>"), (2, None, None), (3, "", "<p>a</p>"), (None, "http://b", "<p>a</p>"), (4, "u", ""), (4, "u", ""), (5, "v", "日" * 5000)]
     rows += [(i, f"http://s/{i}", f"<html><p>page {i % 37} of many</p></html>") for i in range(10, 200)]
@@ -411,3 +573,41 @@ def test_languages(spark, odd, empty):
     assert (found[1], found[2], found[3], found[7]) == ("und", "und", "und", "xx")
     assert {r.lang_pred for r in identify_languages(odd).collect()} == {"und"}
     assert identify_languages(empty).count() == 0
+
+
+def test_languages_by_brute_force(spark):
+    """Against exact sets of n-grams: the filters' corrected counts come near the true ones, and the answers are the same."""
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet'").fetchall()
+    rows += [(90001, "ÉÉ é1é", "fr"), (90002, "a", "xx"), (90003, None, "en"), (90004, "12", None), (90005, "zzz qqq", None)]
+
+    def grams(t):
+        low = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in t or "")
+        for w in low.split():
+            w = f" {w} "
+            for n in langid_sizes:
+                yield from (w[i : i + n] for i in range(len(w) - n + 1) if " " not in w[i + 1 : i + n - 1])
+
+    langid_sizes = (3, 4)
+    docs_of, df = {}, {}
+    for i, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            docs_of[lang] = docs_of.get(lang, 0) + 1
+            for g in set(grams(t)):
+                df.setdefault(g, {})[lang] = df.setdefault(g, {}).get(lang, 0) + 1
+    sets = {lang: set() for lang in docs_of}
+    for g, by in df.items():
+        rates = {lang: n / docs_of[lang] for lang, n in by.items() if n / docs_of[lang] >= 0.001}
+        for lang, r in rates.items():
+            if r >= 0.25 * max(rates.values()):
+                sets[lang].add(g)
+    got = {r.doc_id: r for r in identify_languages(table(spark, [(i, t, lang, None) for i, t, lang in rows])).collect()}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        counts = sorted(((sum(g in sets[lang] for g in grams(t)), lang) for lang in sets), reverse=True)
+        (first, lang), (second, _) = counts[:2]
+        if first - second > 0.02 * first:
+            assert got[i].lang_pred == lang
+        if first > 20:
+            assert got[i].score == pytest.approx(first / (first + second), abs=0.03)
