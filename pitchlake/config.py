@@ -29,7 +29,7 @@ class PossessionConfig:
 
 @dataclass(frozen=True, slots=True)
 class MixtureConfig:
-    """Gaussian mixtures: range of K, covariance type, restarts, iterations, tolerance, ridge, seed."""
+    """Gaussian mixtures: range of K, covariance type, restarts, iterations, tolerance, ridge, seed; ``bayesian`` for a variational fit, full covariances only."""
 
     k_min: int = 3
     k_max: int = 12
@@ -39,8 +39,11 @@ class MixtureConfig:
     tol: float = 1e-3
     ridge: float = 1e-6
     seed: int = 42
+    bayesian: bool = False
 
     def __post_init__(self) -> None:
+        if self.bayesian and self.covariance != "full":
+            raise ValueError("a Bayesian mixture has full covariances")
         if self.covariance not in ("full", "tied", "diag", "spherical"):
             raise ValueError("covariance must be full, tied, diag or spherical")
         if self.k_min < 1:
@@ -73,6 +76,27 @@ class ChangepointConfig:
             raise ValueError(f"unknown cost {self.cost!r}")
 
 
+@dataclass(frozen=True, slots=True)
+class VaeConfig:
+    """Variational autoencoder: latent numbers, hidden layers, dropout, weight of the divergence, training; ``fit_rows`` rows at most are trained on."""
+
+    latent: int = 8
+    hidden: tuple[int, ...] = (256, 128, 64)
+    dropout: float = 0.2
+    beta: float = 4.0
+    epochs: int = 150
+    batch: int = 512
+    rate: float = 1e-3
+    fit_rows: int = 200_000
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        if self.latent < 1 or not self.hidden or min(self.hidden) < 1:
+            raise ValueError("layers must have at least one number")
+        if not 0 <= self.dropout < 1:
+            raise ValueError("dropout must be at least 0 and less than 1")
+
+
 @dataclass(frozen=True, slots=True)
 class PreprocessConfig:
     prefix: str = "t"

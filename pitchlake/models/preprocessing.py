@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.config import PreprocessConfig
@@ -96,6 +97,13 @@ class Preprocessor:
     def _complete(self, df: DataFrame) -> DataFrame:
         return df.fillna(self.fill) if self.fill is not None else df.dropna(subset=self.columns)
 
+    def retained(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """keys and whether ``transform`` keeps the row: always with imputation, else if no feature is null."""
+        if self.columns is None:
+            raise RuntimeError("fit first")
+        whole = F.lit(True) if self.fill is not None else ~functools.reduce(Column.__or__, [F.col(c).isNull() for c in self.columns])
+        return df.select(*keys, whole.alias("retained"))
+
     @property
     def columns_out(self) -> list[str]:
         return [f"z{i}" for i in range(len(self.columns if self.components is None else self.components))]

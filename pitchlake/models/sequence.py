@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.config import HmmConfig
 from pitchlake.errors import ModelError
-from pitchlake.models.mixture import GaussianMixture, log_densities, log_sum
+from pitchlake.models.mixture import START_ROWS, GaussianMixture, log_densities, log_sum, spread_start
 
 
 def _emissions(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
@@ -63,6 +63,15 @@ class HiddenMarkovModel:
     covs: np.ndarray
     log_likelihood: float
 
+    @property
+    def n_states(self) -> int:
+        return len(self.start)
+
+    def state_means(self, spark) -> DataFrame:  # noqa: ANN001
+        """state, feature, mean."""
+        rows = [(k, c, float(v)) for k, m in enumerate(self.means) for c, v in zip(self.columns, m, strict=True)]
+        return spark.createDataFrame(rows, "state int, feature string, mean double")
+
     def decode(self, df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
         """group and order columns, hmm_state_label (Viterbi) and hmm_state_prob_k (posteriors)."""
         m, k = self, len(self.start)
@@ -88,17 +97,27 @@ class HiddenMarkovModel:
         return spark.createDataFrame(rows, "from_state int, to_state int, prob double, from_label string, to_label string")
 
     def to_json(self) -> str:
-        return json.dumps({"columns": self.columns, "start": self.start.tolist(), "move": self.move.tolist(), "means": self.means.tolist(), "covs": self.covs.tolist(), "log_likelihood": self.log_likelihood})
+        return json.dumps({"model": "hmm", "columns": self.columns, "start": self.start.tolist(), "move": self.move.tolist(), "means": self.means.tolist(), "covs": self.covs.tolist(), "log_likelihood": self.log_likelihood})
 
     @classmethod
     def from_json(cls, text: str) -> HiddenMarkovModel:
         d = json.loads(text)
+        if not isinstance(d, dict) or d.get("model") != "hmm":
+            raise ModelError("not a hidden Markov model")
         return cls(d["columns"], *[np.array(d[x]) for x in ("start", "move", "means", "covs")], d["log_likelihood"])
 
 
-def fit_hmm(df: DataFrame, columns: list[str], group: list[str], order: list[str], seed: GaussianMixture, config: HmmConfig | None = None) -> HiddenMarkovModel:
-    """Baum-Welch from a mixture's first n_states components, uniform start and moves; one pass over sequences per iteration."""
+def fit_hmm(df: DataFrame, columns: list[str], group: list[str], order: list[str], seed: GaussianMixture | None = None, config: HmmConfig | None = None) -> HiddenMarkovModel:
+    """Baum-Welch from a mixture's first n_states components, uniform start and moves; one pass over sequences per iteration.
+
+    Without a mixture the states start at spread means of a bounded sample of rows (START_ROWS), each with its own covariance.
+    """
     c = config or HmmConfig()
+    if seed is None:
+        sample = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(START_ROWS).toPandas().to_numpy()
+        if len(sample) < c.n_states:
+            raise ModelError("fewer rows than states")
+        seed = GaussianMixture(columns, *spread_start(sample, c.n_states, np.random.default_rng(c.seed), "full", c.ridge), 0.0, len(sample))
     k, d = min(c.n_states, seed.k), len(columns)
     if k < 1:
         raise ModelError("no state")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.functions.expressions import file_size
 from pitchlake.sources import provider
 from pitchlake.sources.bridge import EVENTS_SQL
 from pitchlake.plans.feature_queries import events, rounded
+from pitchlake.sources.store import hconcat, match_summary
 
 #: Raw types by event_id modulo 10. Fixed values.
 RAW_TYPES = ("Pass", "Pass", "Shot", "Carry", "Pressure", "Duel", "Ball Receipt*", "Dribble", "Tactical Shift", "Goal Keeper")
@@ -63,9 +64,7 @@ def s6_supports_360(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s16_download_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumn("dataset", F.substring("match_id", 1, 9))
-    out = e.rollup("dataset").agg(F.countDistinct("match_id").alias("matches"), F.count(F.lit(1)).alias("events"), F.count_if(F.col("freeze_frame").isNotNull()).alias("with_360"))
-    return out.withColumn("dataset", F.coalesce("dataset", F.lit("TOTAL")))
+    return match_summary(events(spark, sf_dir).withColumn("dataset", F.substring("match_id", 1, 9)))
 
 
 def n20_dataset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +86,77 @@ def j7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.select("event_id", near.alias("nearest")))
 
 
+def _day(e: DataFrame) -> DataFrame:
+    return e.withColumn("match_id", F.date_format("ts", "yyyyMMdd").cast("int")).withColumn("team_id", (F.col("user_id") % 2 + 1).cast("int"))
+
+
+def _spot(a: int, b: int, n: Column, k: Column) -> Column:
+    return F.array(((k * a + n * 11) % 120).cast("double"), ((k * b + n * 17) % 80).cast("double"))
+
+
+def raw_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw events with shot frames (player and position), and 360 frames (neither) of a third of the events."""
+    e, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("long")
+    nine = lambda n: F.when((i + n) % 7 != 0, _spot(3, 5, n, k))
+    frame = F.transform(F.sequence(F.lit(0).cast("long"), i % 4), lambda n: F.struct((n % 2 == 0).alias("teammate"), (n == 0).alias("actor"), F.lit(False).alias("keeper"), nine(n).alias("location")))
+    frames = e.where(i % 3 == 0).select(i.cast("string").alias("event_uuid"), F.when(i % 27 != 0, frame).alias("freeze_frame"))
+    named = lambda n: F.struct((n + 100).cast("int").alias("id"), F.lit("some").alias("name"))
+    role = F.struct(F.lit(3).alias("id"), F.lit("Center Back").alias("name"))
+    shot = F.transform(F.sequence(F.lit(0).cast("long"), i % 3), lambda n: F.struct(_spot(7, 2, n, k).alias("location"), F.when(n > 0, named(n)).alias("player"), role.alias("position"), (n % 2 == 1).alias("teammate")))
+    shots = e.where(i % 10 == 2).select(i.cast("string").alias("id"), shot.alias("shot_freeze_frame"))
+    return raw_events(spark, sf_dir).join(shots, "id", "left"), frames
+
+
+def n11_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every player of every freeze frame: of 360 frames, else of shots."""
+    raw, frames = raw_frames(spark, sf_dir)
+    e = provider.normalise_events(raw, frames).where(F.col("freeze_frame").isNotNull())
+    return rounded(e.select("event_id", F.posexplode("freeze_frame").alias("place", "p")).select("event_id", "place", "p.*"))
+
+
+def s2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of nested raw rows, one a day."""
+    e = _day(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    days = e.groupBy("match_id").agg(F.count_if(F.col("team_id") == 1).alias("a"), F.count_if(F.col("team_id") == 2).alias("b"), F.min(F.date_format("ts", "yyyy-MM-dd")).alias("match_date"))
+    raw = days.select(
+        "match_id",
+        "match_date",
+        F.struct(F.lit("Cup").alias("competition_name")).alias("competition"),
+        F.struct(F.substring("match_date", 1, 4).alias("season_name")).alias("season"),
+        F.struct((F.col("match_id") % 10).alias("home_team_id"), F.lit("Even").alias("home_team_name")).alias("home_team"),
+        F.struct((F.col("match_id") % 7).alias("away_team_id"), F.lit("Odd").alias("away_team_name")).alias("away_team"),
+        F.col("a").alias("home_score"),
+        F.col("b").alias("away_score"),
+    )
+    return provider.list_matches(raw)
+
+
+def n14_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-ups of nested raw rows: the users of a day, their spells and cards."""
+    e = _day(spark.read.parquet(f"{sf_dir}/events.parquet")).select("match_id", "team_id", "user_id").distinct()
+    u = F.col("user_id")
+    spell = F.struct(F.lit(1).alias("position_id"), F.lit("Wing").alias("position"), F.lit("00:00").alias("from"), F.lit(None).cast("string").alias("to"), F.lit(1).alias("from_period"), F.lit(None).cast("int").alias("to_period"), F.when(u % 3 != 0, F.when(u % 2 == 0, "Starting XI").otherwise("Substitution - On (Tactical)")).alias("start_reason"), F.lit("Final Whistle").alias("end_reason"))
+    card = F.struct(F.lit("10:00").alias("time"), F.lit("Yellow Card").alias("card_type"), F.when(u % 10 == 0, "Foul Committed").alias("reason"), F.lit(1).alias("period"))
+    player = F.struct(u.alias("player_id"), F.concat(F.lit("p"), u.cast("string")).alias("player_name"), F.when(u % 6 != 0, (u % 30).cast("int")).alias("jersey_number"), F.when(u % 4 != 0, F.array_repeat(spell, (u % 3 + 1).cast("int"))).alias("positions"), F.when(u % 5 == 0, F.array(card)).alias("cards"))
+    raw = e.select("match_id", "team_id", player.alias("p")).groupBy("match_id", "team_id").agg(F.collect_list("p").alias("lineup")).withColumn("team_name", F.lit("Team"))
+    out = provider.normalise_lineups(raw)
+    return out.select("match_id", "team_id", "team_name", "player_id", "player_name", "jersey_number", "starter", F.size("positions").alias("n_positions"), F.size("cards").alias("n_cards"), F.get("positions", F.lit(0))["start_reason"].alias("start_reason"), F.get("cards", F.lit(0))["reason"].alias("card_reason"))
+
+
+def j9_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of the same vectors side by side, matched by key."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    left = v.select("vec_id", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(f"a{i}") for i in range(3)])
+    right = v.orderBy(F.desc("vec_id")).select("vec_id", F.size("embedding").alias("n"), "label")
+    return hconcat([left, right], ["vec_id"])
+
+
 QUERIES = {
+    "n11_frames": n11_frames,
+    "s2_matches": s2_matches,
+    "n14_lineups": n14_lineups,
+    "j9_side_by_side": j9_side_by_side,
     "n13_normalised": n13_normalised,
     "n7_skipped": n7_skipped,
     "n16_vocabulary": n16_vocabulary,
@@ -121,14 +190,28 @@ SELECT CAST(i AS VARCHAR) AS event_id, CAST(match_id AS VARCHAR) AS match_id, CA
   round(CASE WHEN i % 17 <> 0 THEN k * 1.2::DOUBLE / 120 * 100 END, 8) AS x, round(CASE WHEN i % 17 <> 0 THEN (80 - y) / 80 * 100 END, 8) AS y,
   round(CASE WHEN i % 7 <> 0 THEN y * 1.5::DOUBLE / 120 * 100 END, 8) AS end_x, round(CASE WHEN i % 7 <> 0 THEN (80 - k * 0.8::DOUBLE) / 80 * 100 END, 8) AS end_y, event_type,
   CASE WHEN type = 'Pass' THEN CASE WHEN i % 3 = 0 THEN 'complete' ELSE 'incomplete' END WHEN type = 'Ball Receipt*' THEN CASE WHEN i % 6 = 1 THEN 'incomplete' ELSE 'complete' END
-       ELSE coalesce(replace(lower(so), ' ', '_'), CASE WHEN i % 3 <> 0 THEN 'incomplete' END, CASE WHEN i % 6 = 1 THEN 'incomplete' END, 'success') END AS event_outcome,
+       ELSE coalesce(CASE WHEN i % 3 <> 0 THEN 'incomplete' END, replace(lower(so), ' ', '_'), CASE WHEN i % 6 = 1 THEN 'incomplete' END, 'success') END AS event_outcome,
   i % 5 = 0 AS under_pressure, CASE WHEN i % 3 = 0 THEN 'right_foot' ELSE 'unknown' END AS body_part, score_home, score_away, at_home AS team_is_home,
   row_number() OVER (PARTITION BY match_id ORDER BY period, ms, i) AS seq
 FROM r2 WHERE event_type IS NOT NULL""",
-    "n7_skipped": f"WITH {RAW_SQL} SELECT type, count(*) AS n FROM r1 WHERE event_type IS NULL GROUP BY type",
+    "n7_skipped": f"WITH {RAW_SQL} SELECT type, count(*) AS n, type IN ('Starting XI', 'Tactical Shift') AS known FROM r1 WHERE event_type IS NULL GROUP BY type",
+    "n11_frames": f"""WITH {RAW_SQL}, f AS (SELECT i, k::BIGINT AS k, CASE WHEN i % 3 = 0 AND i % 27 <> 0 THEN 1 WHEN i % 10 = 2 THEN 2 END AS kind FROM r2 WHERE event_type IS NOT NULL),
+p AS (SELECT i, k, 1 AS kind, unnest(range(0, i % 4 + 1)) AS n FROM f WHERE kind = 1 UNION ALL SELECT i, k, 2 AS kind, unnest(range(0, i % 3 + 1)) AS n FROM f WHERE kind = 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n) - 1 AS place FROM p WHERE kind = 2 OR (i + n) % 7 <> 0)
+SELECT CAST(i AS VARCHAR) AS event_id, place::INT AS place, CASE WHEN kind = 2 AND n > 0 THEN CAST(n + 100 AS VARCHAR) ELSE 'unknown' END AS player_id, n % 2 = (kind - 1) AS teammate,
+  round(CASE WHEN kind = 1 THEN (k * 3 + n * 11) % 120 ELSE (k * 7 + n * 11) % 120 END / 120.0::DOUBLE * 100, 8) AS x, round((80 - CASE WHEN kind = 1 THEN (k * 5 + n * 17) % 80 ELSE (k * 2 + n * 17) % 80 END) / 80.0::DOUBLE * 100, 8) AS y,
+  CASE WHEN kind = 2 THEN 'Center Back' ELSE 'unknown' END AS position FROM q""",
+    "s2_matches": """WITH d AS (SELECT CAST(strftime(ts, '%Y%m%d') AS INT) AS m, strftime(min(ts), '%Y-%m-%d') AS match_date, count(*) FILTER (user_id % 2 = 0) AS a, count(*) FILTER (user_id % 2 = 1) AS b FROM events GROUP BY 1)
+SELECT CAST(m AS VARCHAR) AS match_id, 'Cup' AS competition, substr(match_date, 1, 4) AS season, CAST(m % 10 AS VARCHAR) AS home_team_id, 'Even' AS home_team_name, CAST(m % 7 AS VARCHAR) AS away_team_id, 'Odd' AS away_team_name, a::INT AS home_score, b::INT AS away_score, match_date FROM d""",
+    "n14_lineups": """WITH u AS (SELECT DISTINCT CAST(strftime(ts, '%Y%m%d') AS INT) AS match_id, user_id % 2 + 1 AS t, user_id AS u FROM events)
+SELECT match_id, CAST(t AS VARCHAR) AS team_id, 'Team' AS team_name, CAST(u AS VARCHAR) AS player_id, 'p' || u AS player_name, CASE WHEN u % 6 <> 0 THEN u % 30 ELSE 0 END::INT AS jersey_number, u % 4 <> 0 AND u % 3 <> 0 AND u % 2 = 0 AS starter,
+  CASE WHEN u % 4 <> 0 THEN u % 3 + 1 ELSE 0 END::INT AS n_positions, (u % 5 = 0)::INT AS n_cards, CASE WHEN u % 4 <> 0 THEN CASE WHEN u % 3 = 0 THEN 'unknown' WHEN u % 2 = 0 THEN 'Starting XI' ELSE 'Substitution - On (Tactical)' END END AS start_reason,
+  CASE WHEN u % 5 = 0 THEN CASE WHEN u % 10 = 0 THEN 'Foul Committed' ELSE 'unknown' END END AS card_reason FROM u""",
+    "j9_side_by_side": "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS a0, round(embedding[2]::DOUBLE, 6) AS a1, round(embedding[3]::DOUBLE, 6) AS a2, len(embedding)::INT AS n, label FROM embeddings",
     "n16_vocabulary": f"WITH {EVENTS_SQL} SELECT event_type, count(*) AS n FROM ev GROUP BY event_type",
     "s6_supports_360": f"WITH {EVENTS_SQL} SELECT match_id, bool_or(freeze_frame IS NOT NULL) AS has_360 FROM ev GROUP BY match_id",
-    "s16_download_summary": f"WITH {EVENTS_SQL} SELECT coalesce(substr(match_id, 1, 9), 'TOTAL') AS dataset, count(DISTINCT match_id) AS matches, count(*) AS events, count(freeze_frame) AS with_360 FROM ev GROUP BY ROLLUP (substr(match_id, 1, 9))",
+    "s16_download_summary": f"""WITH {EVENTS_SQL}, m AS (SELECT substr(match_id, 1, 9) AS dataset, match_id, count(*) AS n, count(freeze_frame) AS f FROM ev GROUP BY match_id)
+SELECT coalesce(dataset, 'TOTAL') AS dataset, count(*) AS matches, sum(n)::BIGINT AS events, sum(f)::BIGINT AS with_360, count(*) FILTER (f > 0) AS matches_360 FROM m GROUP BY ROLLUP (dataset)""",
     "n20_dataset_map": f"WITH {EVENTS_SQL} SELECT CASE WHEN match_id < '2024-01-20' THEN substr(match_id, 1, 9) ELSE 'unknown' END AS dataset, count(*) AS n FROM ev GROUP BY 1",
     "n22_sizes": "SELECT doc_id, CASE WHEN n_chars * 64 < 1024 THEN format('{:d} B', n_chars * 64) WHEN n_chars * 64 < 1048576 THEN printf('%.1f KB', floor(n_chars * 64 / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * 64 / 1048576 * 10 + 0.5) / 10) END AS size FROM documents",
     "j7_nearest": f"""WITH {EVENTS_SQL}, p AS (SELECT event_id, list_filter(freeze_frame, lambda q: q.teammate) AS t, list_filter(freeze_frame, lambda q: NOT q.teammate) AS o FROM ev WHERE freeze_frame IS NOT NULL)

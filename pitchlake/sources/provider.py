@@ -15,25 +15,45 @@ from pitchlake.functions.expressions import pitch_x, pitch_y, snake, timestamp_s
 
 #: Canonical event types. Fixed values.
 EVENT_TYPES = (
-    *("pass", "carry", "shot", "duel", "pressure", "tackle", "interception", "clearance", "block", "foul_committed", "foul_won"),
-    *("ball_receipt", "ball_recovery", "dispossessed", "miscontrol", "goal_keeper", "substitution"),
-    *("set_piece_corner", "set_piece_free_kick", "set_piece_throw_in", "set_piece_goal_kick", "set_piece_kick_off", "set_piece_penalty"),
+    "pass",
+    "carry",
+    "shot",
+    "pressure",
+    "tackle",
+    "interception",
+    "block",
+    "clearance",
+    "foul_committed",
+    "foul_won",
+    "ball_receipt",
+    "ball_recovery",
+    "dispossessed",
+    "duel",
+    "miscontrol",
+    "goal_keeper",
+    "substitution",
+    "set_piece_corner",
+    "set_piece_free_kick",
+    "set_piece_throw_in",
+    "set_piece_goal_kick",
+    "set_piece_penalty",
+    "set_piece_kick_off",
 )
 
 #: Provider types and canonical types. Fixed values.
 TYPE_MAP = {
     "Pass": "pass",
+    "Ball Receipt*": "ball_receipt",
     "Carry": "carry",
     "Dribble": "carry",
     "Shot": "shot",
     "Pressure": "pressure",
     "Duel": "duel",
-    "Interception": "interception",
-    "Clearance": "clearance",
-    "Block": "block",
     "Foul Committed": "foul_committed",
     "Foul Won": "foul_won",
-    "Ball Receipt*": "ball_receipt",
+    "Interception": "interception",
+    "Block": "block",
+    "Clearance": "clearance",
     "Ball Recovery": "ball_recovery",
     "Dispossessed": "dispossessed",
     "Miscontrol": "miscontrol",
@@ -41,13 +61,33 @@ TYPE_MAP = {
     "Substitution": "substitution",
 }
 
+#: Provider types that are known and have no canonical type. Fixed values.
+SKIPPED_TYPES = (
+    "Starting XI",
+    "Half Start",
+    "Half End",
+    "Tactical Shift",
+    "Injury Stoppage",
+    "Referee Ball-Drop",
+    "Bad Behaviour",
+    "Error",
+    "50/50",
+    "Dribbled Past",
+    "Shield",
+    "Offside",
+    "Own Goal For",
+    "Own Goal Against",
+    "Player Off",
+    "Player On",
+)
+
 #: Passes that start play again. Fixed values.
 PASS_MAP = {"Corner": "set_piece_corner", "Free Kick": "set_piece_free_kick", "Throw-in": "set_piece_throw_in", "Goal Kick": "set_piece_goal_kick", "Kick Off": "set_piece_kick_off"}
 
 #: Columns that are looked through in order. Fixed values.
 BODY_PARTS = ("pass_body_part", "shot_body_part", "clearance_body_part", "goalkeeper_body_part")
 ENDS = ("pass_end_location", "carry_end_location", "shot_end_location", "goalkeeper_end_location")
-OUTCOMES = ("shot_outcome", "duel_outcome", "interception_outcome", "dribble_outcome", "goalkeeper_outcome", "pass_outcome", "ball_receipt_outcome")
+OUTCOMES = ("pass_outcome", "shot_outcome", "duel_outcome", "interception_outcome", "ball_receipt_outcome", "dribble_outcome", "goalkeeper_outcome")
 
 
 class DataAdapter(Protocol):
@@ -81,17 +121,34 @@ def _first(df: DataFrame, names: tuple[str, ...], kind: str) -> Column:
     return F.coalesce(*there, F.lit(None).cast(kind)) if there else F.lit(None).cast(kind)
 
 
+#: Columns that a provider may leave out, and their types.
+OPTIONAL = {
+    "pass_type": "string",
+    "shot_type": "string",
+    "duel_type": "string",
+    "pass_outcome": "string",
+    "shot_outcome": "string",
+    "ball_receipt_outcome": "string",
+    "under_pressure": "boolean",
+    "location": "array<double>",
+    "player_id": "double",
+}
+
+
 def with_raw_columns(raw: DataFrame) -> DataFrame:
-    """Absent optional columns as nulls."""
-    text = ["pass_type", "shot_type", "duel_type", "pass_outcome", "shot_outcome", "ball_receipt_outcome"]
-    return raw.withColumns({c: F.lit(None).cast("string") for c in text if c not in raw.columns})
+    """Absent optional columns as nulls, NaN as null."""
+    numbers = [f.name for f in raw.schema if f.dataType.typeName() in ("double", "float")]
+    raw = raw.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers}) if numbers else raw
+    absent = {c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in raw.columns}
+    return raw.withColumns(absent) if absent else raw
 
 
 def normalise_events(raw: DataFrame, frames: DataFrame | None = None, minute_is_cumulative: bool = False) -> DataFrame:
     """Raw events (and 360 frames: event_uuid, freeze_frame) as canonical events with ``seq``.
 
     The home team is that of the first starting line-up. The running score counts goals up to and including the event.
-    A 360 frame wins over the frame of a shot; players without a place are dropped and an empty frame is null.
+    A 360 frame wins over the frame of a shot, and of several for one event the last; players without a place are dropped and an empty
+    frame is null. Frames may lack any field of a player but the place.
     """
     raw = with_raw_columns(raw)
     home = raw.where(F.col("type") == "Starting XI").groupBy("match_id").agg(F.min_by("team_id", "index").alias("_home"))
@@ -102,12 +159,12 @@ def normalise_events(raw: DataFrame, frames: DataFrame | None = None, minute_is_
     e = e.withColumn("score_home", F.sum(F.coalesce(goal & at_home, F.lit(False)).cast("int")).over(so_far).cast("int"))
     e = e.withColumn("score_away", F.sum(F.coalesce(goal & ~at_home, F.lit(False)).cast("int")).over(so_far).cast("int"))
     e = e.withColumn("_type", event_type()).where(F.col("_type").isNotNull())
+    embedded = _players(e, "shot_freeze_frame") if "shot_freeze_frame" in raw.columns else F.lit(None).cast(PLAYERS)
+    frame = embedded
     if frames is not None:
-        f = frames.where(F.col("event_uuid").isNotNull() & F.col("freeze_frame").isNotNull()).groupBy(F.col("event_uuid").alias("id")).agg(F.last("freeze_frame").alias("_360"))
-        e = e.join(f, "id", "left")
-    shot = F.col("shot_freeze_frame") if "shot_freeze_frame" in raw.columns else None
-    embedded = F.lit(None).cast("array<struct<player_id:string,teammate:boolean,x:double,y:double,position:string>>") if shot is None else _players(shot)
-    frame = F.when(F.col("_360").isNotNull(), _players(F.col("_360"))).otherwise(embedded) if frames is not None else embedded
+        f = frames.withColumn("_at", F.monotonically_increasing_id()).where(F.col("event_uuid").isNotNull() & F.col("freeze_frame").isNotNull())
+        e = e.join(f.groupBy(F.col("event_uuid").alias("id")).agg(F.max_by("freeze_frame", "_at").alias("_360")), "id", "left")
+        frame = F.when(F.col("_360").isNotNull(), _players(e, "_360")).otherwise(embedded)
     end = _first(e, ENDS, "array<double>")
     kind = F.col("type")
     outcome = F.when(kind == "Pass", F.when(F.col("pass_outcome").isNull(), "complete").otherwise("incomplete")).when(kind == "Ball Receipt*", F.when(F.col("ball_receipt_outcome").isNull(), "complete").otherwise("incomplete")).otherwise(F.coalesce(snake(_first(e, OUTCOMES, "string")), F.lit("success")))
@@ -138,24 +195,33 @@ def normalise_events(raw: DataFrame, frames: DataFrame | None = None, minute_is_
     return out.withColumn("seq", F.row_number().over(order).cast("long")).drop("_index")
 
 
-def _players(frame: Column) -> Column:
-    """Players that have a place, in the canonical frame schema."""
-    placed = F.filter(frame, lambda p: p["location"].isNotNull())
-    return F.transform(
-        placed,
-        lambda p: F.struct(
-            F.coalesce(p["player"]["id"].cast("string"), F.lit("unknown")).alias("player_id"),
-            F.coalesce(p["teammate"], F.lit(False)).alias("teammate"),
-            pitch_x(F.get(p["location"], F.lit(0))).alias("x"),
-            pitch_y(F.get(p["location"], F.lit(1))).alias("y"),
-            F.coalesce(p["position"]["name"], F.lit("unknown")).alias("position"),
-        ),
-    )
+#: Type of a canonical freeze frame.
+PLAYERS = "array<struct<player_id:string,teammate:boolean,x:double,y:double,position:string>>"
+
+
+def _players(df: DataFrame, column: str) -> Column:
+    """Players of a raw frame that have a place, in the canonical frame schema; fields that the raw frame lacks get their defaults."""
+    kind = df.schema[column].dataType
+    fields = {f.name: f.dataType for f in getattr(getattr(kind, "elementType", None), "fields", [])}
+    if "location" not in fields:
+        return F.lit(None).cast(PLAYERS)
+
+    def inner(p: Column, field: str, name: str) -> Column:
+        has = name in [f.name for f in getattr(fields.get(field), "fields", [])]
+        return F.coalesce(p[field][name].cast("string"), F.lit("unknown")) if has else F.lit("unknown")
+
+    def player(p: Column) -> Column:
+        mate = F.coalesce(p["teammate"].cast("boolean"), F.lit(False)) if "teammate" in fields else F.lit(False)
+        place = p["location"]
+        return F.struct(inner(p, "player", "id").alias("player_id"), mate.alias("teammate"), pitch_x(F.get(place, F.lit(0))).alias("x"), pitch_y(F.get(place, F.lit(1))).alias("y"), inner(p, "position", "name").alias("position"))
+
+    return F.transform(F.filter(F.col(column), lambda p: p["location"].isNotNull()), player)
 
 
 def skipped_types(raw: DataFrame) -> DataFrame:
-    """type and n of raw events that have no canonical type."""
-    return with_raw_columns(raw).where(event_type().isNull()).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    """type, n and known of raw events that have no canonical type; known: the type is expected to have none."""
+    kinds = with_raw_columns(raw).where(event_type().isNull()).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.withColumn("known", F.coalesce(F.col("type").isin(*SKIPPED_TYPES, *TYPE_MAP), F.lit(False)))
 
 
 def check_vocabulary(events: DataFrame) -> DataFrame:
