@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import functools
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.config import ChangepointConfig
+from pitchlake.models.preprocessing import medians
 
 #: Rows on each side of a changepoint whose means are compared, and features reported.
 REACH, TOP = 5, 5
@@ -74,7 +77,9 @@ def changepoints(x: np.ndarray, config: ChangepointConfig) -> list[int]:
 
 
 def detect(df: DataFrame, columns: Sequence[str], group: Sequence[str], order: Sequence[str], minute: str = "match_minute", config: ChangepointConfig | None = None) -> DataFrame:
-    """One row per changepoint, and one with nulls for a group without: sequence_id, n_segments, cp_index, cp_minute, deltas.
+    """One row per changepoint, and one with nulls for a group without: group columns, sequence_id, n_segments, cp_index, cp_minute, deltas.
+
+    A group is a sequence of one task: some hundred rows; the rbf cost needs the square of that.
 
     ``deltas`` lists the TOP features by absolute difference of the means of REACH rows after and before.
     """
@@ -91,16 +96,70 @@ def detect(df: DataFrame, columns: Sequence[str], group: Sequence[str], order: S
             delta = x[i : i + REACH].mean(0) - x[max(0, i - REACH) : i].mean(0)
             top = sorted(range(len(cols)), key=lambda j: (-abs(delta[j]), cols[j]))[:TOP]
             rows.append((name, len(found) + 1, i, minutes[i], "; ".join(f"{cols[j]}: {delta[j]:+.4f}" for j in top)))
-        return pd.DataFrame(rows or [(name, 1, None, None, None)], columns=["sequence_id", "n_segments", "cp_index", "cp_minute", "deltas"]).astype({"cp_index": "Int64"})
+        out = pd.DataFrame(rows or [(name, 1, None, None, None)], columns=["sequence_id", "n_segments", "cp_index", "cp_minute", "deltas"]).astype({"cp_index": "Int64"})
+        for at, g in enumerate(group):
+            out.insert(at, g, pdf[g].iloc[0])
+        return out
 
     data = df.select(F.concat_ws("_", *group).alias("_id"), *dict.fromkeys([*group, *keys, minute, *cols]))
-    return data.groupBy(*group).applyInPandas(run, "sequence_id string, n_segments int, cp_index bigint, cp_minute double, deltas string")
-
-
-def summary(found: DataFrame) -> DataFrame:
-    """One row: groups, groups with changepoints, total, mean (three digits), median (whole) and most per group."""
-    per = found.groupBy("sequence_id").agg(F.count("cp_index").alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n") > 0).alias("n_with"), F.sum("n").alias("total"), F.round(F.avg("n"), 3).alias("mean"), F.median("n").cast("int").alias("median"), F.max("n").alias("most"))
+    own = "".join(f"`{g}` {df.schema[g].dataType.simpleString()}, " for g in group)
+    return data.groupBy(*group).applyInPandas(run, own + "sequence_id string, n_segments int, cp_index bigint, cp_minute double, deltas string")
+
+
+@dataclass(frozen=True)
+class Signal:
+    """Columns of a table that are searched together, and how."""
+
+    table: DataFrame
+    columns: Sequence[str]
+    config: ChangepointConfig
+
+
+#: Features that are searched as they are, and the settings of the four signals.
+RAW_FEATURES = (
+    "t1_pass_count",
+    "t1_carry_count",
+    "t1_defend_pressure_count",
+    "t1_defend_interception_count",
+    "t1_context_score_differential",
+    "t1_context_possession_share",
+    "t2_shape_team_centroid_x_est",
+    "t2_shape_team_spread_est",
+    "t2_shape_compactness_proxy",
+    "t2_press_intensity",
+)
+BASE, LATENT, RAW = (ChangepointConfig("pelt", "rbf", p, 10) for p in (1.5, 2.0, 2.0))
+
+
+def four_signals(states: DataFrame, sequences: DataFrame, codes: DataFrame, features: DataFrame, raw: Sequence[str] = RAW_FEATURES) -> dict[str, Signal]:
+    """State probabilities of both models, latent codes and raw features, with their settings."""
+    of = lambda df, prefix: [c for c in df.columns if c.startswith(prefix)]
+    return {
+        "gmm": Signal(states, of(states, "state_prob_"), BASE),
+        "hmm": Signal(sequences, of(sequences, "hmm_state_prob_"), BASE),
+        "vae": Signal(codes, of(codes, "latent_"), LATENT),
+        "raw": Signal(features, list(raw), RAW),
+    }
+
+
+def detect_signals(signals: Mapping[str, Signal], group: Sequence[str], order: Sequence[str], minute: str = "match_minute") -> tuple[DataFrame, dict[str, list[str]]]:
+    """The changepoints of every signal with its name, and for signals that lack columns (they are left out) which. Nulls become the column's median."""
+    found, missing = [], {}
+    for name, s in signals.items():
+        if gone := sorted(({*group, *order, minute, *s.columns}) - set(s.table.columns)) or ([] if s.columns else ["no column"]):
+            missing[name] = gone
+            continue
+        table = s.table.select(*dict.fromkeys([*group, *order, minute]), *[F.col(c).cast("double").alias(c) for c in s.columns]).fillna(medians(s.table, list(s.columns)))
+        found.append(detect(table, s.columns, group, order, minute, s.config).select(F.lit(name).alias("signal"), "*"))
+    if not found:
+        raise ValueError(f"no signal has its columns: {missing}")
+    return functools.reduce(DataFrame.unionByName, found), missing
+
+
+def summary(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each value of ``by``): groups, groups with changepoints, total, mean (three digits), median (whole) and most per group."""
+    per = found.groupBy(*by, "sequence_id").agg(F.count("cp_index").alias("n"))
+    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n") > 0).alias("n_with"), F.sum("n").alias("total"), F.round(F.avg("n"), 3).alias("mean"), F.median("n").cast("int").alias("median"), F.max("n").alias("most"))
 
 
 def feature_deltas(df: DataFrame, columns: Sequence[str], group: Sequence[str], order: Sequence[str], at: str, top: int = TOP, reach: int = REACH) -> DataFrame:

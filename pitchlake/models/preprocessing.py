@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.config import PreprocessConfig
 from pitchlake.errors import ModelError
+from pitchlake.operators.quantiles import exact_quantiles
 
 _FEATURE = re.compile(r"t(\d+)_")
 
@@ -31,8 +32,8 @@ def drop_tiers_above(df: DataFrame, max_tier: int) -> DataFrame:
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact interpolated medians of the values that are there; 0 for a column without any."""
-    row = df.agg(*[F.coalesce(F.median(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]).first()
-    return row.asDict()
+    found = exact_quantiles(df, columns, (0.5,))
+    return {c: 0.0 if found[c][0] is None else found[c][0] for c in columns}
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,6 +57,8 @@ def second_moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray,
         yield pa.RecordBatch.from_pydict({"i": np.arange(len(values)), "v": values})
 
     rows = df.select(*columns).mapInArrow(part, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    if not rows:
+        return 0, np.zeros(d), np.zeros((d, d))
     v = np.array([r.v for r in rows])
     return int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)
 
@@ -76,7 +79,7 @@ class Preprocessor:
         self.columns = feature_columns(df, self.config.prefix)
         if self.config.nulls == "impute_median":
             self.fill = medians(df, self.columns)
-        x = self._complete(df)
+        x = self.complete(df)
         n, s, ss = second_moments(x, self.columns)
         if n == 0:
             raise ValueError("no row is left without nulls")
@@ -94,7 +97,8 @@ class Preprocessor:
             self.components, self.explained = vectors[:, :keep].T, share
         return self
 
-    def _complete(self, df: DataFrame) -> DataFrame:
+    def complete(self, df: DataFrame) -> DataFrame:
+        """Nulls filled with the medians of the fit, or rows with any null dropped."""
         return df.fillna(self.fill) if self.fill is not None else df.dropna(subset=self.columns)
 
     def retained(self, df: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,7 +119,7 @@ class Preprocessor:
         if missing := set(self.columns) - set(df.columns):
             raise ValueError(f"missing columns: {sorted(missing)}")
         z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(self.columns, self.mean, self.scale, strict=True)]
-        x = self._complete(df).select(*keys, *[v.alias(f"_{i}") for i, v in enumerate(z)])
+        x = self.complete(df).select(*keys, *[v.alias(f"_{i}") for i, v in enumerate(z)])
         if self.components is None:
             return x.select(*keys, *[F.col(f"_{i}").alias(f"z{i}") for i in range(len(z))])
         every = F.array(*[F.col(f"_{i}") for i in range(len(z))])

@@ -8,17 +8,21 @@ that frames aren't multiplied.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlake.errors import FeatureError
+from pitchlake.config import WindowConfig
+from pitchlake.errors import EngineError, FeatureError
 from pitchlake.functions.expressions import count_where, norm, ratio, share
+from pitchlake.operators.segments import segment_events
+from pitchlake.sources.store import materialised, union_tables
 
 SEGMENT = ("segment_type", "match_id", "period", "segment", "start_time", "end_time", "segment_minute")
 
@@ -387,3 +391,31 @@ def extract_features(segment_events: DataFrame, contexts: DataFrame, max_tier: i
         out = out.join(frames, ["segment_type", "match_id", "period", "segment"], "left")
     meta = ["match_id", _c("focal").alias("team_id"), "segment_type", "start_time", "end_time", "period", _c("segment_minute").alias("match_minute"), "segment"]
     return out.select(*meta, *[n for g in groups for n in g.feature_names])
+
+
+def match_sides(events: DataFrame) -> DataFrame:
+    """Two rows per match, one from each team's point of view: match_id, team_id, opponent_id, team_is_home, has_360. Matches without two teams have none."""
+    e = events.groupBy("match_id", "team_id").agg(F.bool_or("team_is_home").alias("team_is_home"), F.bool_or(_c("freeze_frame").isNotNull()).alias("_f"))
+    both = e.groupBy("match_id").agg(F.sort_array(F.collect_list("team_id")).alias("_teams"), F.bool_or("_f").alias("has_360")).where(F.size("_teams") == 2)
+    other = F.when(_c("team_id") == _c("_teams")[0], _c("_teams")[1]).otherwise(_c("_teams")[0])
+    return e.drop("_f").join(both, "match_id").select("match_id", "team_id", other.alias("opponent_id"), "team_is_home", "has_360")
+
+
+def extract_corpus(datasets: Mapping[str, DataFrame], window: WindowConfig | None = None, max_tier: int = 3) -> tuple[DataFrame, dict[str, str]]:
+    """Features of all data sets (canonical events by name) in one table with ``dataset_slug``, and the data sets that failed, with their reasons.
+
+    Columns that one data set lacks are null there. If every data set fails FeatureError is raised.
+    """
+    tables, failed = [], {}
+    for slug, events in datasets.items():
+        try:
+            e = materialised(events)
+            t = materialised(extract_features(segment_events(e, window or WindowConfig()), match_sides(e), max_tier))
+            if t.isEmpty():
+                raise FeatureError("no segment")
+            tables.append(t.withColumn("dataset_slug", F.lit(slug)))
+        except (EngineError, PySparkException) as error:
+            failed[slug] = str(error).splitlines()[0]
+    if not tables:
+        raise FeatureError(f"no data set gave features: {failed}")
+    return union_tables(*tables), failed

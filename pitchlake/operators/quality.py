@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.operators.quantiles import exact_quantiles
+
 
 def _long(row: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """One row with a struct per column, as one row per column."""
@@ -29,22 +31,27 @@ def null_rates_by(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: count, nulls, mean, sample deviation, minimum, quartiles, maximum."""
+    """Per column: count, nulls, mean, sample deviation, minimum, exact quartiles, maximum."""
+    quarters = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
     cells = []
     for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in quarters[c]]
         cells.append(F.struct(F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.max(c).alias("max")).alias(c))
     return _long(df.agg(*cells), columns, "feature")
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5, least: int = 10) -> DataFrame:
-    """Per column with at least ``least`` values and a positive quartile range: n_outliers and their percentage (two digits)."""
-    q = df.agg(*[F.struct(F.count(c).alias("n"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3")).alias(c) for c in columns])
-    bounds = _long(q, columns, "feature").where((F.col("n") >= least) & (F.col("q3") > F.col("q1")))
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])).alias("s")).select("s.*").where(F.col("value").isNotNull())
-    reach = factor * (F.col("q3") - F.col("q1"))
-    out = values.join(F.broadcast(bounds), "feature")  # one row per column
-    out = out.groupBy("feature", "n").agg(F.count_if((F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)).alias("n_outliers"))
+    """Per column with at least ``least`` values and a positive quartile range: n, n_outliers and their percentage (two digits)."""
+    cells, quarters = [], exact_quantiles(df, columns, (0.25, 0.75))
+    for c in columns:
+        q1, q3 = quarters[c]
+        if q1 is None or q3 <= q1:
+            continue
+        reach = factor * (q3 - q1)
+        cells.append((c, F.struct(F.count(c).alias("n"), F.count_if((F.col(c) < q1 - reach) | (F.col(c) > q3 + reach)).alias("n_outliers")).alias(c)))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "feature string, n bigint, n_outliers bigint, pct double")
+    out = _long(df.agg(*[x for _, x in cells]), [c for c, _ in cells], "feature").where(F.col("n") >= least)
     return out.withColumn("pct", F.round(F.col("n_outliers") * 100.0 / F.col("n"), 2))
 
 
@@ -79,3 +86,15 @@ def largest_groups(df: DataFrame, key: str, k: int) -> DataFrame:
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group with their ``rank``."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def pair_counts(pairs: DataFrame, strong: float = 0.85, moderate: float = 0.70) -> DataFrame:
+    """One row from correlations (a, b, r): number of pairs, and of those whose absolute value is above each bound."""
+    r = F.abs("r")
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(r > strong).alias("n_strong"), F.count_if(r > moderate).alias("n_moderate"))
+
+
+def distribution(df: DataFrame, column: str) -> str:
+    """One line: count, least, quartiles, largest; for reports."""
+    low, q1, q2, q3, high = exact_quantiles(df, [column], (0.0, 0.25, 0.5, 0.75, 1.0))[column]
+    return "no values" if low is None else f"n={df.where(F.col(column).isNotNull()).count()} min={low:.1f} p25={q1:.1f} median={q2:.1f} p75={q3:.1f} max={high:.1f}"

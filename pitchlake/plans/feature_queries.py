@@ -11,8 +11,9 @@ from pitchlake.config import WindowConfig
 from pitchlake.operators import segments as seg
 from pitchlake.operators.features import default_registry, extract_features
 from pitchlake.operators.quality import null_rates
-from pitchlake.plans.feature_sql import HULL, LEAST, OVERLAP, SEGMENTS_SQL, STEADY, TIER3_SQL, WINDOW, feature_names_sql, features_sql
+from pitchlake.plans.feature_sql import HULL, HULL_SQL, LEAST, OVERLAP, SEGMENTS_SQL, STEADY, TIER3_SQL, WINDOW, feature_names_sql, features_sql
 from pitchlake.sources.bridge import EVENTS_SQL, match_contexts, match_events
+from pitchlake.sources.store import materialised
 
 #: Windows of four hours that overlap by 80 minutes: the bridged matches last a day.
 CONFIG = WindowConfig(WINDOW, OVERLAP, LEAST)
@@ -24,7 +25,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str, max_tier: int = 3) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = materialised(events(spark, sf_dir))
     return extract_features(seg.segment_events(e, CONFIG), match_contexts(e), max_tier)
 
 
@@ -73,7 +74,7 @@ def w8_mixed_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tier(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = materialised(events(spark, sf_dir))
     names = [x for x in default_registry().feature_names(n) if x.startswith(f"t{n}_") and x not in HULL]
     out = extract_features(seg.segment_events(e, CONFIG), match_contexts(e), n)
     meta = [*KEYS, *(["start_time", "end_time", "match_minute"] if n < 3 else [])]
@@ -87,7 +88,8 @@ def t3_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x4_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(feature_table(spark, sf_dir))
+    t = feature_table(spark, sf_dir)
+    return rounded(t.select(*[(F.col(c) + STEADY).alias(c) if c.startswith(("t1_", "t2_")) else F.col(c) for c in t.columns]))
 
 
 def x6_null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +162,9 @@ SELECT outcome, count(*) AS n, count(*) FILTER (sp) AS set_pieces FROM p GROUP B
     "f_tier1": features_sql(1),
     "g_tier2": features_sql(2),
     "h_tier3": TIER3_SQL,
+    "h3_hull": HULL_SQL,
+    "x4_feature_table": f"""SELECT a.*, b.* EXCLUDE (match_id, team_id, segment_type, segment, period, start_time, end_time, match_minute), c.* EXCLUDE (match_id, team_id, segment_type, segment, period), h.* EXCLUDE (match_id, team_id, segment_type, segment, period)
+FROM ({features_sql(1)}) a JOIN ({features_sql(2)}) b USING (match_id, team_id, segment_type, segment, period) JOIN ({TIER3_SQL}) c USING (match_id, team_id, segment_type, segment, period) JOIN ({HULL_SQL}) h USING (match_id, team_id, segment_type, segment, period)""",
     "x6_null_rates": _null_rates_sql(),
     "x6_segment_counts": f"WITH {SEGMENTS_SQL} SELECT segment_type, period, 2 * count(DISTINCT (match_id, segment)) AS n_rows, count(DISTINCT match_id) AS n_matches FROM seg GROUP BY segment_type, period",
     "n17_contexts": f"""WITH {EVENTS_SQL}, m AS (SELECT match_id, bool_or(freeze_frame IS NOT NULL) AS has_360 FROM ev GROUP BY match_id)

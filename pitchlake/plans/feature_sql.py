@@ -161,7 +161,7 @@ def _tiers() -> dict[str, str]:
     return t
 
 
-#: The hull has no SQL form here; it is tested apart.
+#: Columns of the hull, which has a text of its own.
 HULL = ("t3_formation_convex_hull_area", "t3_formation_convex_hull_perimeter")
 
 
@@ -201,3 +201,16 @@ SELECT match_id, team AS team_id, segment_type, segment, period,
   round(CASE WHEN ok2 THEN {_LIST3.format("ox", "-3:")} END, 8) AS t3_relational_opp_defensive_line
 FROM ev2 CROSS JOIN (VALUES ('team_a'), ('team_b')) v(team)
 """
+
+#: A hull's edges: pairs of points with no point to their right, and none on their line beyond them.
+HULL_SQL = f"""
+WITH {SEGMENTS_SQL},
+fr AS (SELECT segment_type, match_id, period, segment, arg_max(freeze_frame, seq) FILTER (freeze_frame IS NOT NULL) AS ff FROM seg GROUP BY ALL),
+pt AS (SELECT DISTINCT segment_type, match_id, period, segment, q.x AS x, q.y AS y FROM (SELECT segment_type, match_id, period, segment, unnest(ff) AS q FROM fr) WHERE q.teammate),
+ab AS (SELECT a.segment_type, a.match_id, a.period, a.segment, a.x AS ax, a.y AS ay, b.x AS cx, b.y AS cy FROM pt a JOIN pt b USING (segment_type, match_id, period, segment) WHERE a.x <> b.x OR a.y <> b.y),
+abp AS (SELECT ab.*, (cx - ax) * (p.y - ay) - (cy - ay) * (p.x - ax) AS side, (p.x - ax) * (cx - ax) + (p.y - ay) * (cy - ay) AS along, (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) AS whole FROM ab JOIN pt p USING (segment_type, match_id, period, segment)),
+edge AS (SELECT segment_type, match_id, period, segment, ax, ay, cx, cy FROM abp GROUP BY ALL HAVING bool_and(side > 0 OR (side = 0 AND along BETWEEN 0 AND whole))),
+hull AS (SELECT segment_type, match_id, period, segment, sum(ax * cy - cx * ay) / 2 AS area, sum(sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay))) AS ring FROM edge GROUP BY ALL)
+SELECT match_id, team AS team_id, segment_type, segment, period, round(CASE WHEN area <> 0 THEN area END, 8) AS {HULL[0]}, round(CASE WHEN area <> 0 THEN ring END, 8) AS {HULL[1]}
+FROM fr LEFT JOIN hull USING (segment_type, match_id, period, segment) CROSS JOIN (VALUES ('team_a'), ('team_b')) v(team)
+"""

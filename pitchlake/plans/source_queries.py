@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchlake.functions.expressions import file_size
 from pitchlake.sources import provider
 from pitchlake.sources.bridge import EVENTS_SQL
+from pitchlake.operators.features import match_sides
 from pitchlake.plans.feature_queries import events, rounded
 from pitchlake.sources.store import hconcat, match_summary
 
@@ -152,7 +153,13 @@ def j9_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hconcat([left, right], ["vec_id"])
 
 
+def j4_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both teams' points of view of each match, from its events alone."""
+    return match_sides(events(spark, sf_dir))
+
+
 QUERIES = {
+    "j4_sides": j4_sides,
     "n11_frames": n11_frames,
     "s2_matches": s2_matches,
     "n14_lineups": n14_lineups,
@@ -184,6 +191,8 @@ r2 AS (SELECT r1.*, coalesce(team_id = home, false) AS at_home,
 """
 
 ORACLES = {
+    "j4_sides": f"""WITH {EVENTS_SQL}, t AS (SELECT match_id, team_id, bool_or(team_is_home) AS team_is_home, bool_or(freeze_frame IS NOT NULL) AS f FROM ev GROUP BY ALL)
+SELECT a.match_id, a.team_id, b.team_id AS opponent_id, a.team_is_home, a.f OR b.f AS has_360 FROM t a JOIN t b ON a.match_id = b.match_id AND a.team_id <> b.team_id""",
     "n13_normalised": f"""WITH {RAW_SQL}
 SELECT CAST(i AS VARCHAR) AS event_id, CAST(match_id AS VARCHAR) AS match_id, CAST(team_id AS VARCHAR) AS team_id, CASE WHEN i % 13 <> 0 THEN CAST(user_id AS VARCHAR) ELSE 'unknown' END AS player_id, period,
   round(ms / 1000.0::DOUBLE, 8) AS timestamp, round(45.0::DOUBLE * (period - 1) + ms // 60000 + ((ms // 1000) % 60) / 60.0::DOUBLE, 8) AS match_minute,

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Queries that take many passes; the others cover their parts.
-SLOW = {"m3_states"}
+SLOW = {"m3_states", "m7_selection", "m8_states", "m14_sequences", "s17_transitions", "m18_codes", "m28_signals", "m30_by_signal", "a11_loadings", "a11_importance"}
 
 
 @pytest.fixture(scope="module")

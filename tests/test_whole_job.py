@@ -24,7 +24,7 @@ def test_changepoints_of_all_matches(spark):
 
 def test_deltas_of_every_row(spark):
     e = events(spark, SF).select("match_id", "seq", *[F.coalesce(c, F.lit(50.0)).alias(c) for c in ("x", "y", "end_x")]).toPandas()
-    found = registry.queries()["m26_deltas_every"](spark, SF).toPandas()
+    found = registry.queries()["m26_deltas"](spark, SF).toPandas()
     assert len(found) == 3 * len(e)
     at = found.set_index(["match_id", "seq", "feature"]).delta
     for match, rows in e.groupby("match_id"):
@@ -59,7 +59,7 @@ def test_silhouette_of_all_rows(spark, monkeypatch):
 def test_silhouette_query_reads_all_rows(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
     want = silhouette(np.array(v.embedding.tolist(), dtype=float), v.label.to_numpy())
-    assert registry.queries()["m23_silhouette_whole"](spark, "/root/testdata/sf0.1").first().silhouette == pytest.approx(want, abs=1e-9)
+    assert registry.queries()["m23_silhouette"](spark, "/root/testdata/sf0.1").first().silhouette == pytest.approx(want, abs=1e-7)
 
 
 def test_silhouette_beyond_5000_rows(spark):
@@ -69,16 +69,12 @@ def test_silhouette_beyond_5000_rows(spark):
     assert labels.silhouette(rows, "e", "c", "id").first().silhouette == pytest.approx(silhouette(x, c), abs=1e-9)
 
 
-def test_mixture_of_whole_vectors(spark, monkeypatch):
-    seen = {}
-
-    def select(df, columns, config=None):
-        seen.update(columns=columns, config=config or MixtureConfig())
-        return None, [], df
-
-    monkeypatch.setattr(model_queries.mixture, "select_mixture", lambda *a: select(*a)[:2])
-    _, _, z = model_queries._mixture(spark, SF)
-    assert seen["config"] == MixtureConfig() and len(seen["columns"]) > 50 and z.count() == 500
+def test_mixture_of_whole_vectors(spark):
+    z, columns = model_queries._projected(spark, SF)
+    assert len(columns) > 50 and z.count() == 500
+    found = registry.queries()["m7_selection"](spark, SF).collect()
+    assert [r.k for r in found] == list(range(MixtureConfig().k_min, MixtureConfig().k_max + 1))
+    assert sum(r.best_bic for r in found) == sum(r.best_silhouette for r in found) == 1
 
 
 def test_decoded_states(spark):
