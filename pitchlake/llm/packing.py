@@ -6,9 +6,7 @@ remainder, longest first. No sequence crosses documents and none needs padding;
 Tokens come from a file of the ``tokenizers`` library, with its ids, those of added tokens in the text included. If the file is a
 byte-level BPE with the usual pattern, no normalizer and plain added tokens, its vocabulary is also run by the ``tiktoken`` core,
 which is several times as fast and gives the same ids (tests compare the two on every kind of text); any other file, and what
-that core refuses, goes to ``tokenizers`` itself. The text is cut at added tokens first, as that library does. Words are encoded
-once per worker: cutting between two characters that are no white space, before a single space or around a single line feed,
-never changes the ids, because no token of the pre-tokenizer spans such a place.
+that core refuses, goes to ``tokenizers`` itself. The text is cut at added tokens first, as that library does.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,10 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.common import hidden
 
-#: Words kept in a worker's cache; it is emptied when full, which changes no id.
-CACHE = 150_000
 #: Bytes of token ids in one returned batch, about.
 BATCH_BYTES = 4 << 20
 
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BLANKS_MEET = re.compile(r"[ \n]\s|\s[ \n]|\A\s|\s\Z")
 
 
 def _byte_of() -> dict[str, int]:
@@ -42,18 +38,6 @@ def _byte_of() -> dict[str, int]:
     return table | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Ids of words, encoded when first met."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encode(word)
-        return ids
-
-
 def _usual(spec: dict) -> bool:
     """Whether the file is a plain byte-level BPE with the usual pattern, and its added tokens are taken as they stand."""
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -82,9 +66,6 @@ class Encoder:
             byte_of = _byte_of()
             ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
             self.core = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.head = _Cache(self.plain)
-            self.tail = _Cache(lambda w: self.plain(" " + w))
-            self.feed = self.plain("\n")
 
     def exact(self, text: str) -> bytes:
         """Ids as the library itself gives them."""
@@ -106,30 +87,18 @@ class Encoder:
         if not self.fast:
             return self.exact(text)
         if self.cuts is None or not self.cuts.search(text):
-            return self.words(text)
+            return self.plain(text)
         out, at = [], 0
         for m in self.cuts.finditer(text):
-            out += [self.words(text[at : m.start()]), self.special[m[0]]]
+            out += [self.plain(text[at : m.start()]), self.special[m[0]]]
             at = m.end()
-        return b"".join([*out, self.words(text[at:])])
+        return b"".join([*out, self.plain(text[at:])])
 
-    def words(self, text: str) -> bytes:
-        """Ids of a text without added tokens, word by word where that changes nothing."""
-        if not text:
-            return b""
-        if _BLANKS_MEET.search(text):
-            return self.plain(text)
-        if len(self.head) + len(self.tail) > CACHE:
-            self.head.clear()
-            self.tail.clear()
-        parts: list[bytes] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(self.head[words[0]])
-            parts += map(self.tail.__getitem__, words[1:])
-            parts.append(self.feed)
-        parts.pop()
-        return b"".join(parts)
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -153,7 +122,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_
     end = struct.pack("<I", end_id)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             of: list[int] = []
