@@ -253,10 +253,12 @@ def _formation() -> dict[str, Column]:
     xs, ys, n = _c("tx"), _c("ty"), F.size("tx").cast("double")
     enough = F.size("tx") >= 3
     mx, my = _mean(xs), _mean(ys)
-    a, c = _mean(F.transform(xs, lambda v: (v - mx) * (v - mx))), _mean(F.transform(ys, lambda v: (v - my) * (v - my)))
-    b = F.aggregate(F.arrays_zip(xs.alias("tx"), ys.alias("ty")), F.lit(0.0), lambda s, v: s + (v["tx"] - mx) * (v["ty"] - my)) / n
-    half, root = (a + c) / 2, F.sqrt((a - c) / 2 * ((a - c) / 2) + b * b)
-    minor_by_major = (half - root) / F.nullif(half + root, F.lit(0.0))
+    a, c = _variance(xs), _variance(ys)
+    together = lambda m: F.aggregate(F.arrays_zip(xs.alias("tx"), ys.alias("ty")), F.lit(0.0), lambda s, v: s + (v["tx"] - m["x"]) * (v["ty"] - m["y"])) / n
+    b = _let(F.struct(mx.alias("x"), my.alias("y")), together)
+    axes = lambda s: F.struct(((s["a"] + s["c"]) / 2).alias("half"), F.sqrt((s["a"] - s["c"]) / 2 * ((s["a"] - s["c"]) / 2) + s["b"] * s["b"]).alias("root"))
+    flat = lambda r: F.sqrt(F.greatest(F.lit(0.0), 1 - r * r))
+    shape = lambda s: F.when(s["half"] + s["root"] <= 0, 0.0).otherwise(_let((s["half"] - s["root"]) / F.nullif(s["half"] + s["root"], F.lit(0.0)), flat))
     low, mid, high = _mean(F.slice(F.array_sort(xs), 1, 3)), _median(xs), _mean(F.slice(F.array_sort(xs), -3, 3))
     out = {
         "team_centroid_x": mx,
@@ -272,7 +274,7 @@ def _formation() -> dict[str, Column]:
         "attacking_line": high,
         "def_mid_gap": mid - low,
         "mid_att_gap": high - mid,
-        "formation_eccentricity": F.when(half + root <= 0, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 1 - minor_by_major * minor_by_major))),
+        "formation_eccentricity": _let(_let(F.struct(a.alias("a"), b.alias("b"), c.alias("c")), axes), shape),
     }
     return {p + k: F.when(enough, v) for k, v in out.items()}
 
@@ -286,12 +288,21 @@ def _relational() -> dict[str, Column]:
         "avg_nearest_opponent_dist": _mean(nearest),
         "min_nearest_opponent_dist": F.array_min(nearest),
         "opp_centroid_x": mx,
-        "opp_spread_x": F.sqrt(_mean(F.transform("ox", lambda v: (v - mx) * (v - mx)))),
+        "opp_spread_x": F.sqrt(_variance(_c("ox"))),
         "opp_defensive_line": _mean(F.slice(F.array_sort("ox"), -3, 3)),
     }
     return {p + k: F.when(enough, v) for k, v in out.items()}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _variance(values: Column) -> Column:
+    return _let(_mean(values), lambda m: _mean(F.transform(values, lambda v: (v - m) * (v - m))))
+
+
 def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(values).cast("double"), F.lit(0.0))
 
