@@ -7,14 +7,14 @@ odds, and the first of them are taken until the source's remaining target of wor
 
 The ranking needs no sort of a whole source: the words of each of BUCKETS ranges of u are summed (partial aggregation),
 running sums over these few rows tell the range in which the cut falls, and only the documents of that zone are sorted.
-One more document of the zone is taken if that brings the source nearer to its target.
+Beyond the cut each document of the zone that still fits is taken in order, and one more if that brings the source nearer to its target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.llm.common import cut, row_key, salt, salts
@@ -50,6 +50,26 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat
     return t.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * level)).select("source", "source_size", "target")
 
 
+def _fill(zone: DataFrame) -> DataFrame:
+    """_whose (the source) and _picked: the places of documents behind the cut that are taken.
+
+    Going down the order, each document that still fits is taken; then the one that brings the source nearest to its target, if any
+    does. A source's list has the documents of its zone only.
+    """
+    gap = F.first("_rest") - F.coalesce(F.max(F.when(F.col("_in"), F.col("_sum"))), F.first("_filled"))
+    later = F.sort_array(F.collect_list(F.when(~F.col("_in") & (F.col("size") > 0), F.struct(F.col("_i").alias("i"), F.col("size").alias("n")))))
+    rows = zone.groupBy(F.col("_source").alias("_whose")).agg(gap.alias("_gap"), later.alias("_later"))
+    start = F.struct(F.col("_gap").alias("gap"), F.array().cast("array<int>").alias("got"))
+
+    def take(s: Column, x: Column) -> Column:
+        return F.when(x["n"] <= s["gap"], F.struct((s["gap"] - x["n"]).alias("gap"), F.concat(s["got"], F.array(x["i"])).alias("got"))).otherwise(s)
+
+    rows = rows.withColumn("_s", F.aggregate("_later", start, take))
+    near = F.filter("_later", lambda x: ~F.array_contains(F.col("_s.got"), x["i"]) & (x["n"] < 2 * F.col("_s.gap")))
+    best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["n"] - F.col("_s.gap")).alias("d"), x["i"].alias("i"))))["i"]
+    return rows.select("_whose", F.when(best.isNull(), F.col("_s.got")).otherwise(F.concat(F.col("_s.got"), F.array(best))).alias("_picked"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
@@ -106,7 +126,8 @@ def mix_sources(
         F.max(F.when((F.col("_b") >= F.col("_first._b")) & (F.col("_at") < F.col("_first._at") + ZONE), F.col("_b"))).alias("_to"),
     )
     plan = cut(plan)
-    if plan.count() <= BROADCAST_SOURCES:
+    many = plan.count() > BROADCAST_SOURCES
+    if not many:
         joined = rows.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_of")), "left")
     else:
         used = rows.select(F.col("_source").alias("_src"), F.col("_s").alias("_t")).distinct()
@@ -117,12 +138,15 @@ def mix_sources(
     joined = joined.withColumn("_zone", F.coalesce(F.col("_b").between(F.col("_from"), F.col("_to")), F.lit(False)))
     clear = joined.where(~F.col("_zone")).withColumn("_more", F.coalesce(F.col("_b") < F.col("_from"), F.lit(False)))
     rank = Window.partitionBy("_source").orderBy("_q", "_id", "_k1", "_k2")
-    whole = Window.partitionBy("_source")
     zone = joined.where(F.col("_zone")).withColumn("_q", odds).withColumn("_sum", F.col("_filled") + F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_i", F.row_number().over(rank))
-    zone = zone.withColumn("_in", F.col("_sum") <= F.col("_rest")).withColumn("_gap", F.col("_rest") - F.coalesce(F.max(F.when(F.col("_in"), F.col("_sum"))).over(whole), F.col("_filled")))
-    fit = F.when(~F.col("_in") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap")), F.struct(F.abs(F.col("size") - F.col("_gap")).alias("d"), F.col("_i").alias("i")))
-    zone = zone.withColumn("_fit", fit).withColumn("_best", F.min("_fit").over(whole)).withColumn("_more", F.col("_in") | F.coalesce(F.col("_fit") == F.col("_best"), F.lit(False)))
-    out = clear.select(*[c for c in clear.columns]).unionByName(zone.drop("_q", "_sum", "_i", "_in", "_gap", "_fit", "_best"))
+    zone = zone.withColumn("_in", F.col("_sum") <= F.col("_rest"))
+    picked = _fill(zone)
+    if many:
+        zone = zone.join(picked, F.col("_source").eqNullSafe(F.col("_whose")), "left")
+    else:
+        zone = zone.join(F.broadcast(picked), F.col("_source").eqNullSafe(F.col("_whose")), "left")
+    zone = zone.withColumn("_more", F.col("_in") | F.coalesce(F.array_contains("_picked", F.col("_i")), F.lit(False)))
+    out = clear.unionByName(zone.drop("_q", "_sum", "_i", "_in", "_whose", "_picked"))
     copies = F.least(F.col("_whole").cast("int") + F.col("_more").cast("int"), F.lit(max_repeat))
     out = out.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(own)], "size", "source_size", "target", copies.alias("copies"))
     return out.withColumn("taken", F.col("copies").cast("long") * F.col("size"))

@@ -141,9 +141,11 @@ z AS (SELECT k.source, any_value(b0) AS b0, any_value(filled) AS filled, max(b)
 m AS (SELECT e.*, z.b0, z.b1, z.filled, coalesce(e.b BETWEEN z.b0 AND z.b1, false) AS inz, (rest / source_size) AS p FROM e LEFT JOIN z ON e.source IS NOT DISTINCT FROM z.source),
 q AS (SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u END AS q FROM m WHERE inz),
 x AS (SELECT *, filled + sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY source ORDER BY q, doc_id) AS i FROM q),
-y AS (SELECT *, rest - coalesce(max(CASE WHEN cum <= rest THEN cum END) OVER (PARTITION BY source), filled) AS gap FROM x),
-v AS (SELECT *, CASE WHEN cum > rest AND size > 0 AND size < 2 * gap THEN row(abs(size - gap), i) END AS fit FROM y),
-o AS (SELECT r, cum <= rest OR coalesce(fit = min(fit) OVER (PARTITION BY source), false) AS more FROM v)
+y AS (SELECT source, any_value(rest) - coalesce(max(CASE WHEN cum <= rest THEN cum END), any_value(filled)) AS gap,
+        list({'gap': 0.0::DOUBLE, 'got': []::BIGINT[], 'n': size::BIGINT, 'i': i::BIGINT} ORDER BY i) FILTER (cum > rest AND size > 0) AS later FROM x GROUP BY source),
+w2 AS (SELECT source, later, list_reduce(later, lambda a, b: CASE WHEN b.n <= a.gap THEN {'gap': a.gap - b.n, 'got': list_append(a.got, b.i), 'n': 0::BIGINT, 'i': 0::BIGINT} ELSE a END, {'gap': gap, 'got': []::BIGINT[], 'n': 0::BIGINT, 'i': 0::BIGINT}) AS s FROM y WHERE later IS NOT NULL),
+v AS (SELECT source, s.got AS got, list_min(list_transform(list_filter(later, lambda b: NOT list_contains(s.got, b.i) AND b.n < 2 * s.gap), lambda b: {'d': abs(b.n - s.gap), 'i': b.i})).i AS best FROM w2),
+o AS (SELECT x.r, x.cum <= x.rest OR coalesce(list_contains(v.got, x.i), false) OR coalesce(x.i = v.best, false) AS more FROM x LEFT JOIN v ON x.source IS NOT DISTINCT FROM v.source)
 SELECT doc_id, size, source_size, target, least(whole::INT + coalesce(o.more, coalesce(b < b0, false))::INT, 2)::BIGINT * size AS taken
 FROM m LEFT JOIN o USING (r)
 """
