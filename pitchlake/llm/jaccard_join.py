@@ -51,9 +51,9 @@ BLOCK = 1 << 20
 #: First-level partitions of a band whose signatures look for a lead.
 LEADS = 6
 #: Words whose hashes a worker keeps; emptied when full.
-CACHE = 250_000
+CACHE = 150_000
 #: Elements or signatures that a worker holds before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

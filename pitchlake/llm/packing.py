@@ -15,7 +15,8 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.common import hidden
 
+if TYPE_CHECKING:
+    import tokenizers
+
 #: Bytes of token ids in one returned batch, about.
 BATCH_BYTES = 4 << 20
 
@@ -52,9 +56,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = spec.get("added_tokens", [])
@@ -67,6 +70,13 @@ class Encoder:
             ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
             self.core = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self) -> tokenizers.Tokenizer:
+        """The library's own encoder, loaded when first needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def exact(self, text: str) -> bytes:
         """Ids as the library itself gives them."""
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -95,12 +105,6 @@ class Encoder:
         return b"".join([*out, self.plain(text[at:])])
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
-    return Encoder(path)
-
-
 def binary_lengths(n: int, longest: int) -> list[int]:
     """The pieces of a document of n tokens: as many of the longest length as fit, then the remainder's binary digits."""
     whole, rest = divmod(n, longest)
@@ -122,7 +126,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_
     end = struct.pack("<I", end_id)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = Encoder(tokenizer)  # one for each task: workers live on for other stages
         for batch in batches:
             rows: list[tuple] = []
             of: list[int] = []
