@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import BLANKS, ascii_lower, attach, cut, hidden, pick, salt, salts, spread, with_least
+from pitchlake.llm.common import BLANKS, ascii_lower, attach, cut, give_back, hidden, pick, salt, salts, spread, with_least
 from pitchlake.llm.components import components
 
 #: Up to this k a band has one first-level partition and subsets of two second-level ones; beyond, k2 = 1 and n2 = 3.
@@ -207,6 +207,8 @@ def missing(rows: DataFrame, width: int, share: float = 1.0) -> DataFrame:
                 if held >= FLUSH or k == len(nodes) - 1:
                     yield told(np.array(ids, np.int64), np.array(sizes, np.int64), parts)
                     ids, sizes, parts, held = [], [], [], 0
+        shingles.words.clear()
+        give_back()
 
     def told(ids: np.ndarray, sizes: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
         e = np.concatenate(parts)

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import cut, hidden
+from pitchlake.llm.common import cut, give_back, hidden
 
 SIZES = (3, 4)
 HASHES = 3
 #: Slots per n-gram of the array, rounded up to a power of two: few enough mistakes, and still small.
 SLOTS_PER_GRAM = 16
 #: Code points handled at a time, about, which bounds a worker's memory.
-PART = 1 << 19
+PART = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD: list[np.ndarray] = []
@@ -133,6 +133,9 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             for i in range(0, len(keys), 100_000):
                 part = keys[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[i : i + 100_000])], names=["_lang", "_gram", "_df"])
+        total.clear()
+        waiting.clear()
+        give_back()
 
     rows = docs.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
     return rows.mapInArrow(count, "_lang string, _gram bigint, _df bigint").groupBy("_lang", "_gram").agg(F.sum("_df").alias("_df"))
@@ -227,6 +230,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", own: Sequ
                     answers.append(f.languages[first[k] if top[k] > 0 else common] if letters[k] else "und")
                     scores.append(float(sure[k]) if letters[k] else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(answers, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        give_back()
 
     return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(own, names, strict=True)], "lang_pred", "score")
 

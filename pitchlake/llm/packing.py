@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import hidden
+from pitchlake.llm.common import give_back, hidden
 
 if TYPE_CHECKING:
     import tokenizers
@@ -144,6 +144,8 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_
                     rows, of, held = [], [], 0
             if rows:
                 yield table(batch, of, rows)
+        del encode
+        give_back()
 
     def table(batch: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
         starts, lengths, totals, ids = zip(*rows, strict=True)
