@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -66,6 +68,47 @@ def test_mean_shift(method, cost, penalty):
     assert any(abs(i - 50) <= 5 for i in changepoint.changepoints(x, ChangepointConfig(method, cost, penalty, 10)))
 
 
+def plain_pelt(x, c):
+    """PELT without pruning, and costs from all pairs."""
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    g = np.exp(-np.clip(d / np.median(d[np.triu_indices(len(x), 1)]), 0.01, 100))
+    np.fill_diagonal(g, 1)
+    cost = lambda a, b: (b - a) - g[a:b, a:b].sum() / (b - a)
+    best = {0: (0.0, [])}
+    for e in [*[i for i in range(0, len(x), c.jump) if c.min_size <= i <= len(x) - c.min_size], len(x)]:
+        if found := [(t + cost(s, e) + c.penalty, [*cuts, s]) for s, (t, cuts) in best.items() if e - s >= c.min_size]:
+            best[e] = min(found)
+    return best[len(x)][1][1:]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairs_in_blocks(monkeypatch, seed):
+    """Median and cuts as from all pairs at once, whatever the blocks and bounds."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (150, 2)) + np.repeat(rng.normal(0, 2, (5, 2)), 30, 0)
+    x = x.round(0) if seed % 2 else x
+    want = np.median(((x[:, None] - x[None]) ** 2).sum(2)[np.triu_indices(150, 1)])
+    for block, at_once, some in ((7, 0, 3), (64, 50, 20), (256, 2_000_000, 1500)):
+        monkeypatch.setattr(changepoint, "BLOCK", block)
+        monkeypatch.setattr(changepoint, "AT_ONCE", at_once)
+        monkeypatch.setattr(changepoint, "SOME", some)
+        assert changepoint.median_distance(x) == pytest.approx(want, rel=1e-12)
+        c = ChangepointConfig("pelt", "rbf", 1.5, 10)
+        assert len(plain_pelt(x, c)) > 1 and changepoint.changepoints(x, c) == plain_pelt(x, c)
+    assert changepoint.median_distance(np.ones((90, 3))) == 0
+
+
+@pytest.mark.parametrize("method", ["pelt", "binseg", "window"])
+def test_long_sequence_needs_no_memory_for_pairs(method):
+    """4,000 rows: 128 MB for one number per pair, of which there were several."""
+    x = np.random.default_rng(6).normal(0, 0.3, (4000, 2)) + np.repeat([[0.0], [8.0], [3.0], [11.0]], 1000, 0)
+    tracemalloc.start()
+    found = changepoint.changepoints(x, ChangepointConfig(method, "rbf", 3.0, 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {1000, 2000, 3000} <= set(found) and peak < 120e6
+
+
 def test_constant():
     x = np.random.default_rng(3).normal(5, 0.01, (100, 4))
     assert changepoint.changepoints(x, ChangepointConfig("pelt", "rbf", 1000, 10)) == []
