@@ -22,6 +22,7 @@ import functools
 import math
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -148,9 +149,10 @@ def score_words(found: Sequence[tuple[bytes, int, int]], n0: int, n1: int, corpu
 def segments(events: Sequence[tuple[int, float]], n: int, other: float) -> list[tuple[int, int, float]]:
     """All maximal segments (first, last, score) of n words, where ``events`` lists place and score of the words with scores of their own and every other word scores ``other`` < 0.
 
-    Linear in the number of events: words between events only lower the running sum.
+    Linear in the number of events: words between events only lower the running sum, and a run whose links were passed over once isn't
+    looked at again. Where no earlier run began lower, all earlier ones are final.
     """
-    runs: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    runs: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last, the last run before it that began lower
     total, at = 0.0, 0
     for place, score in events:
         total += other * (place - at)
@@ -159,49 +161,54 @@ def segments(events: Sequence[tuple[int, float]], n: int, other: float) -> list[
         if score <= 0:
             continue
         left, right, first, last = before, total, place, place
+        j = len(runs) - 1
         while True:
-            j = len(runs) - 1
             while j >= 0 and runs[j][0] >= left:
-                j -= 1
+                j = runs[j][4]
             if j < 0 or runs[j][1] >= right:
-                runs.append((left, right, first, last))
+                runs.append((left, right, first, last, j))
                 break
-            left, first = runs[j][0], runs[j][2]
+            left, _, first, _, link = runs[j]
             del runs[j:]
-    return [(first, last, right - left) for left, right, first, last in runs]
+            j = link
+    return [(first, last, right - left) for left, right, first, last, _ in runs]
 
 
 def scan(docs: DataFrame, models: Sequence[Model], own: Sequence[str], text_col: str, model: Column) -> DataFrame:
     """The columns ``own``, n_words, best (score of the best segment, 0 without one), passages (first, last, score), by the model of the number ``model``."""
     shared = docs.sparkSession.sparkContext.broadcast(list(models))
-    passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
+    passage = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, bests, lists = [], [], []
+            lengths, bests, ends, lists = [], [], [0], []
             for text, k in zip(_binary(batch, 0), batch.column(1).to_pylist(), strict=True):
                 known, other = shared.value[k]
                 words = words_of(text)
                 found = []
                 if not known.keys().isdisjoint(words):
-                    found = segments([(i, known[w]) for i, w in enumerate(words) if w in known], len(words), other)
+                    found = segments([(i, known[w]) for i, w in compress(enumerate(words), map(known.__contains__, words))], len(words), other)
                 lengths.append(len(words))
                 bests.append(max((s for _, _, s in found), default=0.0))
-                lists.append([{"first": a, "last": b, "score": s} for a, b, s in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lengths, pa.int64()), pa.array(bests, pa.float64()), pa.array(lists, passage)], names=[*own, "n_words", "best", "passages"])
+                lists += found
+                ends.append(len(lists))
+            parts = [pa.array([x[i] for x in lists], f.type) for i, f in enumerate(passage)]
+            passages = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(passage)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lengths, pa.int64()), pa.array(bests, pa.float64()), passages], names=[*own, "n_words", "best", "passages"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", n_words bigint, best double, passages array<struct<first:bigint,last:bigint,score:double>>"
     return docs.select(F.col(f"`{text_col}`").alias("_text"), model.alias("_model"), *[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
 
 
 def evidence(location: float, scale: float) -> Column:
-    """-ln p of the passages of a document (n_words, passages), 0 without any: of the r best together, for the r that gives most.
+    """-ln p of the passages of a document (n_words, best, passages), 0 without any: of the r best together, for the r that gives most.
 
     The best alone follows the Gumbel law. The sum t of the normalised scores of the r best has p = exp(-t) t^(r-1) / (r! (r-1)!), and each
     further one costs a factor of two for the choice of r. Only passages above the location count beyond the first.
     """
-    y = F.reverse(F.array_sort(F.transform("passages", lambda x: (x["score"] - F.log("n_words") - location) / scale)))
-    first = F.greatest(y[0], F.lit(-700.0))
+    normal = lambda x: (x - F.log("n_words") - location) / scale
+    y = F.reverse(F.array_sort(F.filter(F.transform("passages", lambda x: normal(x["score"])), lambda x: x > 0)))
+    first = F.greatest(normal(F.col("best")), F.lit(-700.0))
     alone = F.when(first > 27, first).otherwise(-F.log(-F.expm1(-F.exp(-first))))
 
     def add(s: Column, x: Column) -> Column:
@@ -214,7 +221,7 @@ def evidence(location: float, scale: float) -> Column:
 
     start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("t"), F.lit(0.0).alias("logs"), F.lit(0.0).alias("most"))
     found = F.aggregate(y, start, add, lambda s: s["most"])
-    return F.when(F.size("passages") > 0, F.greatest(found, F.lit(0.0))).otherwise(0.0)
+    return F.when(F.size("passages") > 0, F.greatest(alone, found, F.lit(0.0))).otherwise(0.0)
 
 
 def monotone(counts: Sequence[tuple[int, int, int]], steps: int) -> list[float]:

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -218,6 +219,23 @@ def test_segments_by_brute_force():
         assert all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
 
 
+def test_all_segments_in_linear_time():
+    """Those that cutting out the best stretch again and again gives; and 10,000 words in drifting text without comparing all pairs."""
+
+    def parts(s, a, b):
+        score, first, last = max(((sum(s[i : j + 1]), i, j) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0))
+        return [] if score <= 0 else [*parts(s, a, first), (first, last), *parts(s, last + 1, b)]
+
+    rng = random.Random(5)
+    for _ in range(60):
+        n, other = rng.randrange(1, 45), -rng.uniform(0.05, 1)
+        special = {i: rng.uniform(-1, 3) for i in range(n) if rng.random() < 0.6}
+        assert [x[:2] for x in toxicity.segments(sorted(special.items()), n, other)] == parts([special.get(i, other) for i in range(n)], 0, n)
+    began = time.process_time()
+    assert len(toxicity.segments([(5 * i, 0.5 + 0.001 * (i % 7)) for i in range(10_000)], 50_000, -0.5)) == 10_000
+    assert time.process_time() - began < 2
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(4)
     clean = [f"w{i}" for i in range(400)]
