@@ -109,6 +109,23 @@ def test_long_sequence_needs_no_memory_for_pairs(method):
     assert {1000, 2000, 3000} <= set(found) and peak < 120e6
 
 
+def test_work_of_long_sequences(monkeypatch):
+    """Equal rows are compared once, also in the search, and short sequences take few steps; the cuts are those of all pairs."""
+    rng = np.random.default_rng(8)
+    sizes, squared = [], changepoint.squared
+    monkeypatch.setattr(changepoint, "squared", lambda a, b: sizes.append(len(a) * len(b)) or squared(a, b))
+    c = ChangepointConfig("pelt", "rbf", 3.0, 10)
+    x = rng.normal(0, 1, (40, 2))[rng.integers(0, 40, 6000)]
+    changepoint.changepoints(x, c)
+    assert sum(sizes) < 2_500_000  # of 18,000,000 pairs
+    sizes.clear()
+    changepoint.changepoints(rng.normal(0, 1, (1600, 2)), c)
+    assert len(sizes) < 250  # of 318 places, and the blocks of the median
+    monkeypatch.setattr(changepoint, "BLOCK", 32)
+    for part in (x[:500], np.vstack([x[:200], x[200:350] + 2, x[350:500]])):
+        assert changepoint.changepoints(part, c) == plain_pelt(part, c)
+
+
 def test_constant():
     x = np.random.default_rng(3).normal(5, 0.01, (100, 4))
     assert changepoint.changepoints(x, ChangepointConfig("pelt", "rbf", 1000, 10)) == []
